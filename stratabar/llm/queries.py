@@ -1,11 +1,15 @@
 """Queries of this subpackage and the SQL that DuckDB answers them with."""
 
+from stratabar.llm.bpe import op2_bpe
 from stratabar.llm.chat_format import OP7_SQL, op7_chat_format
 from stratabar.llm.sharding import op8_sharding
+from stratabar.llm.token_files import op3_token_files
 from stratabar.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_bpe": op2_bpe,
+    "op3_token_files": op3_token_files,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
 }
