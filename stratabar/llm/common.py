@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +45,24 @@ def held_out(doc_id: Column | str) -> Column:
 def literal_rows(spark: SparkSession, json_rows: str, schema: str) -> DataFrame:
     """A small table given as a JSON array: one literal in the plan, so nothing but the plan is needed to rebuild it."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json_rows), f"array<struct<{schema}>>")))
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], added: str, compute: Callable[[list[str]], list[pa.Array]], rows_at_once: int = 256) -> DataFrame:
+    """docs' columns named in keep, and those that compute makes of the texts (null: empty), declared in `added`.
+
+    Columns go to Python under names of their own, so no name of the table can clash with another. compute gets at
+    most rows_at_once texts, and that many rows go back at a time.
+    """
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep, 1)])
+    new = [f.name for f in StructType.fromDDL(added)]
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]]
+    made = [f"a{i} {f.dataType.simpleString()}" for i, f in enumerate(StructType.fromDDL(added))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                some = batch.slice(at, rows_at_once)
+                arrays = compute(some.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], *arrays], [*some.schema.names[1:], *[f"a{i}" for i in range(len(arrays))]])
+
+    return rows.mapInArrow(run, ", ".join(kept + made)).toDF(*keep, *new)

@@ -4,6 +4,7 @@ from stratabar.llm.bpe import op2_bpe
 from stratabar.llm.chat_format import OP7_SQL, op7_chat_format
 from stratabar.llm.sharding import op8_sharding
 from stratabar.llm.token_files import op3_token_files
+from stratabar.llm.toxicity import op9_toxicity
 from stratabar.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
