@@ -179,7 +179,8 @@ def calibrate(lexicon: Lexicon, sample: DataFrame, prior: float) -> Lexicon:
             got = [lexicon.features(t)[:2] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1).cast(pa.int64())], ["x", "d", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(features, "x double, d double, y bigint").orderBy("y", "x", "d").collect()  # 2 x FIT_PER_CLASS rows at most
+    rows = sample.select("text", "y").mapInArrow(features, "x double, d double, y bigint").collect()  # 2 x FIT_PER_CLASS rows at most
+    rows = sorted(rows, key=lambda r: (r["y"], r["x"], r["d"]))  # sums in one order give the same fit at every run
     x, y = np.array([[1.0, r["x"], math.log1p(r["d"])] for r in rows]).reshape(-1, 3), np.array([r["y"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return lexicon
