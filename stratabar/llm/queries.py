@@ -2,6 +2,7 @@
 
 from stratabar.llm.bpe import op2_bpe
 from stratabar.llm.chat_format import OP7_SQL, op7_chat_format
+from stratabar.llm.jaccard_join import op6_jaccard_join
 from stratabar.llm.lang_id import op5_language_id
 from stratabar.llm.quality import op10_quality_rules
 from stratabar.llm.sharding import op8_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
