@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -40,8 +40,9 @@ def multipliers() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 1 << 63, FUNCTIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, text_key, class_id, n_links, keeps.
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: id_col, text_key, class_id, n_links, keeps; given keep, also `row`, a struct of the
+    columns it names.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is SIMILARITY or more, checked
     exactly. class_id: the least id of all documents that links connect. n_links: documents of other rows whose text
@@ -50,7 +51,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts and texts without words are linked with nothing: class_id is their own id, and they keep. Rows that
     repeat an id are rows as any other. Null ids are left out of the minimum; a class of null ids alone has class_id
-    null. An empty table gives no rows; other columns are not carried.
+    null. An empty table gives no rows.
 
     Copies of a text are merged first (map-side, so their number doesn't matter) and are one set from there on. Only
     sketches travel to the buckets; texts follow for sets that have a likely partner, to the bucket of the first run
@@ -58,8 +59,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs. A bucket that no split makes small (near copies by the thousand) is compared block by block.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    carried = [F.struct(*keep).alias("row")] if keep else []
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
+    whole = whole.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    rows = whole.select("id", "text", "key")
     nodes = checkpointed(_nodes(rows))
     depth, runs = plan_runs(nodes.count())
     leaves = _leaves(nodes, depth, runs)
@@ -67,7 +70,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = checkpointed(_mapped(spark, groups, _likely, _LIKELY))
     texts = _texts(rows, likely)
     found = checkpointed(_mapped(spark, likely.join(texts, "key").select("g", "side", "run", "key", "rep", "copies", "leaves", "text"), _links, _LINKS))
-    return _classes(rows, nodes, found).withColumnRenamed("id", id_col)
+    return _classes(whole.drop("text"), nodes, found).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their class, one for each class, with all columns."""
+    kept = jaccard_classes(docs, id_col, text_col, keep=docs.columns).filter("keeps")
+    if kept.groupBy(id_col, "text_key").count().filter("count > 1").isEmpty():
+        return kept.select("row.*")
+    return kept.dropDuplicates([id_col, "text_key"]).select("row.*")  # rows that repeat id and text
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -237,10 +248,10 @@ def _classes(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
             F.nullif(F.coalesce("root.rep", "rep"), F.lit((1 << 63) - 1)).alias("class_id"), (F.coalesce("root.key", "key") == F.col("key")).alias("stands"),
         )
     )
-    own = rows.select("id", "key").join(known, "key", "left")
+    own = rows.join(known, "key", "left")
     alone = F.col("stands").isNull()
     return own.select(
-        "id", F.hex("key").alias("text_key"),
+        "id", *(["row"] if "row" in rows.columns else []), F.hex("key").alias("text_key"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(alone, F.lit(True)).otherwise(F.col("stands") & F.col("id").eqNullSafe(F.col("rep"))).alias("keeps"),
     )

@@ -2,6 +2,7 @@
 
 from stratabar.llm.bpe import op2_bpe
 from stratabar.llm.chat_format import OP7_SQL, op7_chat_format
+from stratabar.llm.decontaminate import op4_decontamination
 from stratabar.llm.jaccard_join import op6_jaccard_join
 from stratabar.llm.lang_id import op5_language_id
 from stratabar.llm.quality import op10_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_chat_format": op7_chat_format,
