@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratabar.llm.chunks import BETWEEN_SPACES, WITH_SPACES, ChunkCache, special_pattern
+from stratabar.llm.chunks import BETWEEN_SPACES, WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
 from stratabar.llm.common import table
 
 #: Fragments with more symbols are merged by a queue instead of scans.
@@ -22,13 +22,6 @@ LONG_FRAGMENT = 64
 BATCH_BYTES = 8 << 20
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte: itself where printable, else from U+0100 on in order."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
-
-
 class ForcedBoundaryBPE:
     """Encodes and decodes as the tokenizer file says. Normalisation and the split into words are the file's own
     (components of the tokenizers library); the merges are done here, fragment by fragment.
@@ -52,14 +45,16 @@ class ForcedBoundaryBPE:
         for token, i in {**self.vocab, **self.added}.items():
             self.tokens[i] = token
         self.keeps_spaces = (spec["decoder"] or {}).get("type") == "ByteLevel"
-        self.letters = {c: b for b, c in byte_letters().items()}
+        self.shown = byte_letters()
+        self.letters = {c: b for b, c in self.shown.items()}
+        self.lower = self.normalizer is not None and self.normalizer.normalize_str("A") == "a"
         self.inside: set[str] = set()
         for token in self.vocab:
             if token not in self.added:
                 body = token.removesuffix(self.suffix) if self.suffix else token
                 self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.chunk = WITH_SPACES if self.keeps_spaces else BETWEEN_SPACES
-        self.chunks = ChunkCache(self._encode_chunk)
+        self.chunks = ChunkCache(self._encode_chunk, apart=True)
         self.middle, self.last = ChunkCache(lambda f: self._merged(list(f))), ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]))
 
     def encode(self, text: str) -> bytes:
@@ -92,15 +87,22 @@ class ForcedBoundaryBPE:
         return i.to_bytes(4, "little")
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        if self.normalizer:
-            chunk = self.normalizer.normalize_str(chunk)
         out = []
-        for word, _ in self.pre_tokenizer.pre_tokenize_str(chunk):
+        for word in self._words(chunk):
             *first, end = self.fragments(word)
             out += [self.middle[f] for f in first]
             out.append(self.last[end])
         return b"".join(out)
 
+    def _words(self, chunk: str) -> list[str]:
+        """In the letters that stand for bytes. Plain words need no look at the file's patterns."""
+        word = chunk.lower() if self.lower else chunk
+        if is_word(word[1:] if self.keeps_spaces and word[0] == " " else word):
+            return ["".join([self.shown[b] for b in word.encode()])]
+        if self.normalizer:
+            chunk = self.normalizer.normalize_str(chunk)
+        return [word for word, _ in self.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def _merged(self, symbols: list[str]) -> bytes:
         vocab = self.vocab
         symbols = self._merge_long(symbols) if len(symbols) > LONG_FRAGMENT else self._merge(symbols)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from stratabar.llm.chunks import WITH_SPACES, ChunkCache, special_pattern
+from stratabar.llm.chunks import WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
 from stratabar.llm.common import shared_dir, table
 
 SEQUENCE = 2048
@@ -43,15 +44,25 @@ class LibraryEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.dtype = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.model, self.shown = self.tok.model, byte_letters()
+        self.byte_level = self.tok.normalizer is None and [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str("a b")] == ["a", self.shown[32] + "b"]
+        self.typecode = "H" if self.dtype == "<u2" else "I"
         self.specials = special_pattern([t.content for t in self.tok.get_added_tokens_decoder().values()])
-        self.chunks = ChunkCache(self._ids)
+        self.chunks = ChunkCache(self._ids, apart=True)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _ids(self, chunk: str) -> bytes:
+        """Plain words go to the library's model at once, other chunks through its patterns first."""
+        if self.byte_level and is_word(chunk[1:] if chunk[0] == " " else chunk):
+            return array(self.typecode, [t.id for t in self.model.tokenize("".join([self.shown[b] for b in chunk.encode()]))]).tobytes()
+        return array(self.typecode, self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        parts = self.specials.split(text) if self.specials and self.specials.search(text) else [text]
-        return b"".join(x for p in parts for x in map(self.chunks.__getitem__, WITH_SPACES.findall(p)))
+        if self.specials and self.specials.search(text):
+            return b"".join(map(self._plain, self.specials.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, WITH_SPACES.findall(text)))
 
 
 @lru_cache(maxsize=4)
