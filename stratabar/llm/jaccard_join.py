@@ -106,7 +106,8 @@ def _leaves(nodes: DataFrame, depth: int, runs: int) -> DataFrame:
     open_rows = nodes.select("key", F.inline(F.array(*paths)))
     closed = []
     for d in range(depth):
-        sizes = open_rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # cut off, so the join deals it anew and can split what meets a large bucket
+        sizes = checkpointed(open_rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         met = checkpointed(open_rows.join(sizes, "leaf"))
         if d + 1 == depth:
             closed.append(met.select("key", "run", "leaf", "n"))
