@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from stratabar.functions.intervals import TimeInterval, bin_start
 from stratabar.operators.ordered import fold_ordered
-from stratabar.operators.ordering import order_columns
+from stratabar.operators.ordering import order_columns, with_keys
 from stratabar.operators.timebars import taker_buys, total
 
 
@@ -43,34 +43,24 @@ def label_fixed(trades: DataFrame, threshold, partition_cols: Sequence[str] = ()
     inside buckets of bucket_ms, over the buckets' totals, and together again.
     """
     order = order_columns(trades)
-    group = [*partition_cols, "_bucket"]
+    rows, keys, group = with_keys(trades, partition_cols, bucket_ms)
     inside = Window.partitionBy(*group).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*partition_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
 
-    d = F.coalesce(dollars(trades), F.lit(0))
-    rows = trades.withColumn("_bucket", bin_start("time", bucket_ms)).withColumns({"_d": d, "_i": F.row_number().over(inside)}).withColumn("_s", F.sum("_d").over(upto))
+    rows = rows.withColumns({"_d": F.coalesce(dollars(trades), F.lit(0)), "_i": F.row_number().over(inside)}).withColumn("_s", F.sum("_d").over(upto))
     sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_sum"))
     sums = sums.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0"))
-    rows = _join(rows, sums, group).withColumn("seq", F.col("_n0") + F.col("_i"))
+    rows = rows.join(sums, group).withColumn("seq", F.col("_n0") + F.col("_i"))
     rows = rows.withColumn("_sum", F.col("_s0") + F.col("_s"))
     exact = isinstance(rows.schema["_sum"].dataType, DecimalType)  # whole division of decimals doesn't round
     full = F.call_function("div", F.col("_sum"), F.lit(Decimal(str(threshold)))) if exact else F.floor(F.col("_sum") / F.lit(threshold))
     rows = rows.withColumn("_gap", full.cast("bigint") - F.col("seq")).drop("_sum")
     least = rows.groupBy(*group).agg(F.min("_gap").alias("_least"))
     least = least.select(*group, F.least(F.coalesce(F.min("_least").over(earlier), F.lit(0)), F.lit(0)).alias("_m0"))
-    rows = _join(rows, least, group).withColumn("_m", F.coalesce(F.min("_gap").over(before), F.lit(0)))
-    return rows.withColumn("bar_id", F.col("seq") - 1 + F.least("_m0", "_m")).drop("_bucket", "_d", "_i", "_s", "_n0", "_s0", "_gap", "_m0", "_m")
-
-
-def _join(rows: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
-    """By null-safe equality, for partition columns may hold nulls."""
-    right = totals.withColumnsRenamed({c: f"{c}_r" for c in group})
-    condition = F.lit(True)
-    for c in group:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"{c}_r"))
-    return rows.join(right, condition).drop(*[f"{c}_r" for c in group])
+    rows = rows.join(least, group).withColumn("_m", F.coalesce(F.min("_gap").over(before), F.lit(0)))
+    return rows.withColumn("bar_id", F.col("seq") - 1 + F.least("_m0", "_m")).select(*trades.columns, "seq", "bar_id")
 
 
 def aggregate_trades_to_dollar_bars_fixed(
@@ -175,8 +165,10 @@ def aggregate_trades_to_dollar_bars_dynamic(
     """
     thresholds = dynamic_thresholds(trades, target_bars_per_day, ema_span, initial_threshold, recalculation_interval_ms, partition_cols, lag_days)
     whole = Window.partitionBy(*partition_cols).orderBy("day_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    table = thresholds.select(*partition_cols, "day_start", "threshold", F.first("threshold", ignorenulls=True).over(whole).alias("_first"))
-    rows = _join(trades.withColumn("day_start", bin_start("time", recalculation_interval_ms)), table, [*partition_cols, "day_start"])
+    table, keys, _ = with_keys(thresholds, partition_cols)
+    table = table.select(*keys, "day_start", "threshold", F.first("threshold", ignorenulls=True).over(whole).alias("_first"))
+    rows, _, _ = with_keys(trades.withColumn("day_start", bin_start("time", recalculation_interval_ms)), partition_cols)
+    rows = rows.join(table, [*keys, "day_start"])
     rows = rows.withColumns({"_d": F.coalesce(dollars(trades), F.lit(0)).cast("double"), "_day": F.col("day_start"), "_own": F.col("threshold").cast("double")})
     labelled = fold_ordered(
         rows, partition_cols, order_columns(trades), {"d": "_d", "day": "_day", "threshold": "_own", "first": "_first"}, "bar_id bigint, threshold_used double",

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratabar.functions.intervals import TimeInterval, bin_start
-from stratabar.operators.dollarbars import _join
 from stratabar.operators.ordered import fold_ordered
-from stratabar.operators.ordering import order_columns
+from stratabar.operators.ordering import order_columns, with_keys
 from stratabar.operators.timebars import total
 
 #: Values beyond this many steps back weigh under 1e-30 in a mean of window 20.
@@ -30,20 +29,19 @@ def calculate_tick_rule(trades: DataFrame, partition_cols: Sequence[str] = (), b
 
     In two levels: the last change inside a bucket, else the last one of an earlier bucket."""
     order = order_columns(trades)
-    group = [*partition_cols, "_bucket"]
+    rows, keys, group = with_keys(trades, partition_cols, bucket_ms)
     inside = Window.partitionBy(*group).orderBy(*order)
-    earlier = Window.partitionBy(*partition_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     key = F.struct(*order)
-    rows = trades.withColumn("_bucket", bin_start("time", bucket_ms))
     ends = rows.groupBy(*group).agg(F.max_by("price", key).alias("_close"))
     ends = ends.select(*group, F.last("_close").over(earlier).alias("_before"))
-    rows = _join(rows, ends, group)
+    rows = rows.join(ends, group)
     change = F.col("price") - F.coalesce(F.lag("price").over(inside), F.col("_before"))
     rows = rows.withColumn("_change", F.when(change > 0, 1).when(change < 0, -1))
     rows = rows.withColumn("_last", F.last("_change", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     left = rows.groupBy(*group).agg(F.max_by("_last", key).alias("_left"))
     left = left.select(*group, F.last("_left", ignorenulls=True).over(earlier).alias("_carry"))
-    return _join(rows, left, group).withColumn("sign", F.coalesce("_last", "_carry", F.lit(1)).cast("tinyint")).drop("_bucket", "_before", "_change", "_last", "_carry")
+    return rows.join(left, group).select(*trades.columns, F.coalesce("_last", "_carry", F.lit(1)).cast("tinyint").alias("sign"))
 
 
 def biased_ema(values: Sequence[float], window: int) -> float:
@@ -199,14 +197,15 @@ def _bars(trades: DataFrame, init: float, num_prev_bars: int, window: int, parti
 def _with_seed(rows: DataFrame, partition_cols: Sequence[str], order: list[str]) -> DataFrame:
     """_seed: the mean quote quantity of a partition's first 1000 trades if it has more, else that of its first trade.
     The rank filter reaches the map tasks, so 1001 rows of each are dealt at most."""
-    keys = list(partition_cols) or ["_all"]
-    rows = rows if partition_cols else rows.withColumn("_all", F.lit(0))
+    keyed, keys, _ = with_keys(rows, partition_cols)
+    if not keys:
+        keyed, keys = rows.withColumn("_k", F.lit(0)), ["_k"]
     w = Window.partitionBy(*keys).orderBy(*order)
-    first = rows.select(*keys, *order, "quote_quantity").withColumn("_n", F.row_number().over(w)).filter("_n <= 1001")
+    first = keyed.select(*keys, *order, "quote_quantity").withColumn("_n", F.row_number().over(w)).filter("_n <= 1001")
     seed = first.groupBy(*keys).agg(
         F.when(F.max("_n") > 1000, F.sum(F.when(F.col("_n") <= 1000, F.col("quote_quantity"))).cast("double") / 1000).otherwise(F.max(F.when(F.col("_n") == 1, F.col("quote_quantity"))).cast("double")).alias("_seed")
     )
-    return _join(rows, seed, keys).drop(*[c for c in keys if c not in partition_cols])
+    return keyed.join(seed, keys).drop(*keys)
 
 
 def aggregate_trades_to_tick_imbalance_bars(

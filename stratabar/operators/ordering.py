@@ -34,3 +34,14 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def with_keys(rows: DataFrame, partition_cols: Sequence[str], bucket_ms: int | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """rows with never-null text forms of the partition columns and, given bucket_ms, the time bucket; the names of the
+    former, and of all. Windows, aggregations and joins on all of them share one exchange, which joins that compare
+    null-safely would not."""
+    keys = [f"_k{i}" for i in range(len(partition_cols))]
+    added = {k: F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for k, c in zip(keys, partition_cols, strict=True)}
+    if bucket_ms is not None:
+        added["_bucket"] = F.coalesce(bin_start("time", bucket_ms), F.lit(-(1 << 62)))
+    return rows.withColumns(added) if added else rows, keys, [*keys, *(["_bucket"] if bucket_ms is not None else [])]

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratabar.functions.intervals import TimeInterval, bin_start
-from stratabar.operators.dollarbars import _join
-from stratabar.operators.ordering import order_columns
+from stratabar.functions.intervals import TimeInterval
+from stratabar.operators.ordering import order_columns, with_keys
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -48,13 +47,13 @@ def tick_distribution(signed: DataFrame) -> DataFrame:
 
 def cumulative_signed_volume(signed: DataFrame, partition_cols: Sequence[str] = (), bucket_ms: int = TimeInterval.HOUR) -> DataFrame:
     """signed with cum_signed: the running sum of sign * quote_quantity, in two levels as other running sums here."""
-    group = [*partition_cols, "_bucket"]
-    rows = signed.withColumns({"_bucket": bin_start("time", bucket_ms), "_v": F.col("sign") * F.col("quote_quantity")})
-    earlier = Window.partitionBy(*partition_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    rows, keys, group = with_keys(signed, partition_cols, bucket_ms)
+    rows = rows.withColumn("_v", F.col("sign") * F.col("quote_quantity"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     sums = rows.groupBy(*group).agg(F.sum("_v").alias("_sum"))
-    rows = _join(rows, sums.select(*group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0")), group)
+    rows = rows.join(sums.select(*group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0")), group)
     inside = Window.partitionBy(*group).orderBy(*order_columns(signed)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("cum_signed", F.col("_s0") + F.sum("_v").over(inside)).drop("_bucket", "_v", "_s0")
+    return rows.withColumn("cum_signed", F.col("_s0") + F.sum("_v").over(inside)).select(*signed.columns, "cum_signed")
 
 
 def threshold_exceedances(cumulated: DataFrame, thresholds: Sequence[float], column: str = "cum_signed") -> DataFrame:
@@ -79,3 +78,13 @@ def most_volatile(bars: DataFrame, n: int = 1) -> DataFrame:
 def sample_shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """All rows in an order that a hash of the key and the seed gives: the same at every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def plan_size_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, from file sizes and the plan; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
+def summary(df: DataFrame, *columns: str) -> DataFrame:
+    """count, mean, stddev, min, quartiles and max of each column, as text."""
+    return df.select(*columns).summary()

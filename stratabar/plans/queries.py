@@ -488,3 +488,63 @@ def date_list_monthly(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM (VALUES (DATE '2024-05-03', DATE '2024-05-31', 'daily'), (DATE '2024-06-01', DATE '2024-10-31', 'monthly'), (DATE '2024-11-01', DATE '2024-11-20', 'daily')) AS t(\"start\", \"end\", frequency)")
 def frequency_plan(spark: SparkSession, d: str) -> DataFrame:
     return catalog.frequency_plan(spark, "2024-05-03", "2024-11-20")
+
+
+@query("SELECT CAST(4 AS BIGINT) AS total, CAST(3 AS BIGINT) AS successful, CAST(1 AS BIGINT) AS failed")
+def process_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Four archives of which one is broken: three are ingested."""
+    folder = mkdtemp(prefix="stratabar-zip-")
+    for n in range(4):
+        with open(os.path.join(folder, f"part-{n}.zip"), "wb") as f:
+            if n == 2:
+                f.write(b"no archive")
+                continue
+            with zipfile.ZipFile(f, "w") as z:
+                z.writestr("x.csv", f"{n},1.5,2,3,1700000000000,true\n")
+    got = ingest.process_downloaded_files(spark, f"file://{folder}/*.zip", DataType.TRADES, "SYM", _file(spark, "lake"))
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in got.items()])
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, round(price, 6) AS price, time, is_buyer_maker FROM trades")
+def ingest_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Trades as CSV files without a header, typed on reading."""
+    folder = _file(spark, "csv")
+    trades_from_events(spark, d).select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker").write.csv(folder)
+    return rounded(ingest.read_csv(spark, folder, DataType.TRADES).select("trade_id", "price", "time", "is_buyer_maker"))
+
+
+@query(f"WITH {TRADES_SQL} SELECT strftime(make_timestamp(time * 1000), '%Y_%m') AS year_month, symbol, count(*) AS n FROM trades GROUP BY ALL")
+def partitioned_lake(spark: SparkSession, d: str) -> DataFrame:
+    """Trades by symbol and month, read back with the partitions as columns."""
+    folder = _file(spark, "lake")
+    rows = trades_from_events(spark, d).withColumn("year_month", F.date_format(F.timestamp_millis("time"), "yyyy_MM"))
+    ingest.write_parquet(rows, folder, ["symbol", "year_month"], level=3)
+    return spark.read.parquet(folder).groupBy(F.col("year_month").cast("string").alias("year_month"), "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'SYM-1m-' || strftime(x, '%Y-%m-%d') || '.zip' AS filename, 'https://archive.example/data/futures/um/daily/klines/SYM/1m/SYM-1m-' || strftime(x, '%Y-%m-%d') || '.zip' AS url
+FROM generate_series(TIMESTAMP '2024-02-27', TIMESTAMP '2024-03-02', INTERVAL 1 DAY) AS t(x)""")
+def file_urls(spark: SparkSession, d: str) -> DataFrame:
+    config = catalog.DataConfig("SYM", DataType.KLINES, interval="1m")
+    days = [r["date"] for r in catalog.date_list(spark, "2024-02-27", "2024-03-02").collect()]  # a row per day asked for
+    return catalog.file_urls(spark, catalog.ArchiveRepository("https://archive.example"), config, days, Frequency.DAILY).select("filename", "url")
+
+
+@query("SELECT 'a-2024-05-03.zip' AS filename, DATE '2024-05-03' AS date, CAST(5 AS BIGINT) AS size_bytes UNION ALL SELECT 'a-2024-06.zip', DATE '2024-06-01', 6 UNION ALL SELECT 'a.zip', NULL, 7")
+def parse_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Two pages of an object store's listing."""
+    page = "<L xmlns='http://example/'>{}</L>".format
+    item = "<Contents><Key>data/{}</Key><Size>{}</Size><LastModified>now</LastModified></Contents>".format
+    pages = [(page(item("a-2024-05-03.zip", 5) + item("a-2024-06.zip", 6)),), (page(item("a.zip", 7)),)]
+    return catalog.parse_listings(spark.createDataFrame(pages, "xml string"), "https://archive.example").select("filename", "date", "size_bytes")
+
+
+@query(f"WITH {TRADES_SQL} SELECT count(*) AS n, count(DISTINCT symbol) AS symbols FROM (SELECT * FROM trades WHERE symbol = 'click' UNION ALL SELECT * FROM trades WHERE symbol <> 'click')")
+def concat_parts(spark: SparkSession, d: str) -> DataFrame:
+    t = trades_from_events(spark, d)
+    return t.filter("symbol = 'click'").unionByName(t.filter("symbol <> 'click'")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"))
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, symbol FROM trades")
+def shuffled_sample(spark: SparkSession, d: str) -> DataFrame:
+    return stats.sample_shuffled(trades_from_events(spark, d).select("trade_id", "symbol"), "trade_id")

@@ -132,3 +132,40 @@ def compact(spark: SparkSession, files: Sequence[str], out: str, data_type: Data
     ordered = whole.repartitionByRange(time).sortWithinPartitions(time)
     ordered.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max_records).parquet(out)
     return spark.read.parquet(out)
+
+
+def check_archives(spark: SparkSession, paths: str | Sequence[str], data_type: DataType) -> DataFrame:
+    """A row per archive: source_file, n_rows, error (null where it can be read). One task per archive."""
+    schema = get_data_type_schema(data_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, error = 0, None
+                try:
+                    n = sum(map(len, _csv_rows(content.as_py(), schema.names, schema)))
+                except (ValueError, UnicodeDecodeError, zipfile.BadZipFile) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([error], pa.string())], ["source_file", "n_rows", "error"])
+
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    return files.select("path", "content").mapInArrow(run, "source_file string, n_rows bigint, error string")
+
+
+def process_downloaded_files(spark: SparkSession, paths: str | Sequence[str], data_type: DataType, symbol: str, out: str) -> dict[str, int]:
+    """Ingests the archives that can be read; returns how many there are, and were taken or not."""
+    found = check_archives(spark, paths, data_type).collect()  # a row per file
+    good = [r["source_file"] for r in found if r["error"] is None]
+    if good:
+        ingest_archives(spark, good, data_type, symbol, out)
+    return {"total": len(found), "successful": len(good), "failed": len(found) - len(good)}
+
+
+def process_csv_to_parquet(spark: SparkSession, path: str | Sequence[str], out: str, data_type: DataType) -> DataFrame:
+    write_parquet(read_csv(spark, path, data_type), out)
+    return spark.read.parquet(out)
+
+
+def process_zip_to_parquet(spark: SparkSession, path: str | Sequence[str], out: str, data_type: DataType) -> DataFrame:
+    write_parquet(read_archives(spark, path, data_type).drop("source_file"), out)
+    return spark.read.parquet(out)
