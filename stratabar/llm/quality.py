@@ -22,7 +22,7 @@ CHAR_GRAMS = (1, 2, 3, 4)
 #: Words of a window for repeats.
 WINDOW = 5
 #: Labelled rows of each class for fitting, at most; one in CALIBRATE of them is kept for the calibration.
-FIT_PER_CLASS = 2000
+FIT_PER_CLASS = 1000
 CALIBRATE = 4
 STEPS, RATE, L2 = 200, 0.05, 1e-5
 #: A document is kept from this probability of good quality on.
@@ -183,7 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     if len(set(y)) < 2:
         return QualityModel(np.zeros(1 << BITS), bias=5.0)
     slots = [np.frombuffer(r["slots"], "<i4") for r in rows]
-    values = [np.frombuffer(r["counts"], "<f4") / max(1, r["n_words"]) for r in rows]
+    values = [np.frombuffer(r["counts"], "<f4") / np.float32(max(1, r["n_words"])) for r in rows]
     place = {k: np.array([i for i in range(len(rows)) if (i % CALIBRATE == 0) == k]) for k in (False, True)}
     weights, bias = _logistic([slots[i] for i in place[False]], [values[i] for i in place[False]], y[place[False]])
     held = place[True]
@@ -193,21 +193,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
 
 
 def _logistic(slots: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Adam on all rows at once; the classes weigh alike."""
-    row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    used, at = np.unique(np.concatenate(slots), return_inverse=True)
-    x = np.concatenate(values).astype(float)
+    """Adam on all rows at once; the classes weigh alike. A row without features has the bias alone."""
+    full = [i for i, s in enumerate(slots) if len(s)]
+    at, x = np.concatenate([slots[i] for i in full]).astype(np.int64), np.concatenate([values[i] for i in full]).astype(np.float32)
+    counts = np.array([len(slots[i]) for i in full])
+    starts = np.cumsum(counts) - counts
     side = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-    theta, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    size = (1 << BITS) + 1  # the bias is the last
+    theta, m, v = np.zeros(size, np.float32), np.zeros(size), np.zeros(size)
     for t in range(1, STEPS + 1):
-        z = theta[-1] + np.bincount(row, x * theta[at], len(y))
+        z = np.full(len(y), float(theta[-1]))
+        z[full] += np.add.reduceat(x * theta[at], starts)
         error = side * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(at, x * error[row], len(used)) + L2 * theta[:-1], error.sum())
+        g = np.bincount(at, x * np.repeat(error[full].astype(np.float32), counts), size)
+        g[:-1] += L2 * theta[:-1]
+        g[-1] = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[used] = theta[:-1]
-    return weights, float(theta[-1])
+        theta -= (RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    return theta[:-1].astype(float), float(theta[-1])
 
 
 def _platt(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
