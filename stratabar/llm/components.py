@@ -32,12 +32,13 @@ def _canonical(edges: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # cut off, so the join deals it anew and can split what meets a node of many neighbours
+    least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return _canonical(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    least = checkpointed(e.groupBy("a").agg(F.min("b").alias("m")))
     tied = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _canonical(tied.unionByName(least.select("a", F.col("m").alias("b"))))
