@@ -16,6 +16,6 @@ from stratabar.schemas import DataType, Frequency, Market, get_data_config, get_
 from stratabar.session import get_session
 from stratabar.sources.catalog import ArchiveRepository, DataConfig, determine_optimal_frequency, missing_files, parse_listings, smart_catalog
 from stratabar.sources.ingest import compact, ingest_archives, process_downloaded_files, read_archives, read_csv, write_parquet
-from stratabar.streaming.bars import stream_dollar_bars, stream_time_bars
+from stratabar.streaming.bars import stream_dollar_bars, stream_imbalance_bars, stream_time_bars
 
 __all__ = [name for name in dir() if not name.startswith("_")]

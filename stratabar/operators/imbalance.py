@@ -95,7 +95,7 @@ class _Signs:
         return self._before(self.count) - self._before(self.count - n)
 
 
-class _ImbalanceLabels:
+class ImbalanceLabels:
     """Bar numbers, running imbalance and reported threshold of ordered trades. The threshold stays within a bar, so its
     end is looked for in cumulative sums over growing pieces: work per bar, not per trade."""
 
@@ -178,7 +178,7 @@ def _bars(trades: DataFrame, init: float, num_prev_bars: int, window: int, parti
         signed = _with_seed(signed, partition_cols, order).withColumn("_v", F.coalesce("quote_quantity", F.lit(0)).cast("double"))
         inputs |= {"value": "_v", "seed": "_seed"}
     labelled = fold_ordered(
-        signed, partition_cols, order, inputs, "bar_id bigint, theta double, expected double", lambda: _ImbalanceLabels(init, num_prev_bars, window, dollars)
+        signed, partition_cols, order, inputs, "bar_id bigint, theta double, expected double", lambda: ImbalanceLabels(init, num_prev_bars, window, dollars)
     )
 
     def bought(c: str) -> Column:

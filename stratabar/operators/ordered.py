@@ -25,7 +25,7 @@ def fold_ordered(rows: DataFrame, partition_cols: Sequence[str], order_cols: Seq
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)],
     )
     keys = [f"_p{i}" for i in range(len(partition_cols))]
-    dealt = packed.repartition("_g", *keys) if partition_cols else packed.coalesce(1)
+    dealt = packed.repartition("_g", *keys) if partition_cols else packed.repartition(1)
     ordered = dealt.sortWithinPartitions("_g", *keys, *[f"_o{i}" for i in range(len(order_cols))])
     own = [f"c{i}" for i in range(len(names))]
     new = [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(added)]

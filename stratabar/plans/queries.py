@@ -21,7 +21,7 @@ from stratabar.operators import dollarbars, imbalance, resample, stats, timebars
 from stratabar.plans.trades import EXACT_SQL, TRADES_SQL, trades_from_events, trades_from_rows
 from stratabar.schemas import DataType, Frequency, to_candle_names
 from stratabar.sources import catalog, ingest
-from stratabar.streaming.bars import stream_dollar_bars, stream_time_bars
+from stratabar.streaming.bars import stream_dollar_bars, stream_imbalance_bars, stream_time_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,11 @@ def stream_dollar_bars_by_symbol(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_streamed(spark, d, lambda t: stream_dollar_bars(t, 100_000.0), "append"))
 
 
+@query()
+def stream_tick_imbalance_bars(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_streamed(spark, d, lambda t: stream_imbalance_bars(t, 200), "append"))
+
+
 def _streamed(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
@@ -362,7 +367,7 @@ def row_count_check(spark: SparkSession, d: str) -> DataFrame:
     bars = timebars.aggregate_trades_to_ohlcv(trades_from_events(spark, d), TimeInterval.HOUR, packed_ids=True)
     span = bars.agg(F.min("open_time").alias("a"), F.max("open_time").alias("b"), F.count(F.lit(1)).alias("n")).first()
     complete = validate.validate_row_counts(bars, 60, 3600, (span["b"] - span["a"] + TimeInterval.HOUR) / 1000)
-    return spark.range(1).select(F.lit(span["n"]).alias("bars"), F.lit(validate.validate_row_counts(bars, 60, 3600)).alias("finer_than_target"), F.lit(complete).alias("complete"))
+    return spark.range(1).select(F.lit(span["n"]).cast("bigint").alias("bars"), F.lit(validate.validate_row_counts(bars, 60, 3600)).alias("finer_than_target"), F.lit(complete).alias("complete"))
 
 
 @query(f"WITH {TRADES_SQL}, b AS (SELECT {_bin(3_600_000)} AS open_time, max(price) AS high, min(price) AS low FROM trades GROUP BY ALL) SELECT open_time, round((high - low) / low * 100, 4) AS volatility FROM b ORDER BY (high - low) / low * 100 DESC, open_time LIMIT 1")

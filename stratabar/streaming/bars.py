@@ -1,14 +1,18 @@
-"""Time bars and dollar bars under Structured Streaming."""
+"""Time, dollar and imbalance bars under Structured Streaming."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stratabar.operators.imbalance import ImbalanceLabels
 from stratabar.operators.ordering import order_key
 from stratabar.operators.timebars import ohlcv_columns
 
@@ -70,3 +74,47 @@ def _fold(threshold: float):
 
 def _row(key: tuple, s: dict, closed: bool) -> tuple:
     return (key[0], s["bar_id"], s["open_time"], s["close_time"], s["open"], s["high"], s["low"], s["close"], s["volume"], s["quote_volume"], s["num_trades"], s["dollars"], closed)
+
+
+IMBALANCE_SCHEMA = "symbol string, bar_id bigint, open_time bigint, close_time bigint, open double, high double, low double, close double, volume double, quote_volume double, taker_buy_base_volume double, taker_buy_quote_volume double, num_trades bigint, cumulative_theta double, expected_imbalance double, closed boolean"
+_SUMS = ("volume", "quote_volume", "taker_buy_base_volume", "taker_buy_quote_volume", "num_trades")
+
+
+def stream_imbalance_bars(trades: DataFrame, exp_num_ticks_init: float = 10000, num_prev_bars: int = 3, num_ticks_ewma_window: int = 20, dollar_seed: float | None = None) -> DataFrame:
+    """Tick imbalance bars of each symbol of a stream; given dollar_seed, dollar imbalance bars whose first expected
+    value it is (the batch operator looks ahead for it). Order and lateness as for dollar bars. State: the open bar and
+    the recurrence, which keeps a byte per trade."""
+
+    def start() -> ImbalanceLabels:
+        return ImbalanceLabels(exp_num_ticks_init, num_prev_bars, num_ticks_ewma_window, dollar_seed is not None)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        labels, price, sign, open_bar = pickle.loads(state.get[0]) if state.exists else (start(), None, 1, None)
+        rows = pd.concat(list(batches)).sort_values(["time", "trade_id"], kind="stable").reset_index(drop=True)
+        signs = []
+        for p in rows["price"].tolist():
+            sign = sign if price is None or p == price else 1 if p > price else -1
+            price = p
+            signs.append(sign)
+        table = {"sign": np.array(signs, np.int8), "value": rows["quote_quantity"].to_numpy(float), "seed": np.full(len(rows), dollar_seed or 0.0)}
+        rows["bar_id"], rows["theta"], rows["expected"] = (a.to_numpy() for a in labels(pa.table(table)))
+        up = np.array(signs) == 1
+        rows["bq"], rows["bqq"] = rows["quantity"].where(up, 0.0), rows["quote_quantity"].where(up, 0.0)
+        own = rows.groupby("bar_id", as_index=False).agg(
+            open_time=("time", "first"), close_time=("time", "last"), open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"),
+            volume=("quantity", "sum"), quote_volume=("quote_quantity", "sum"), taker_buy_base_volume=("bq", "sum"), taker_buy_quote_volume=("bqq", "sum"),
+            num_trades=("price", "size"), cumulative_theta=("theta", "last"), expected_imbalance=("expected", "last"),
+        )
+        if open_bar is not None and len(own) and own.at[0, "bar_id"] == open_bar["bar_id"]:
+            for c in ("open_time", "open"):
+                own.at[0, c] = open_bar[c]
+            own.at[0, "high"], own.at[0, "low"] = max(own.at[0, "high"], open_bar["high"]), min(own.at[0, "low"], open_bar["low"])
+            for c in _SUMS:
+                own.at[0, c] += open_bar[c]
+        own["closed"] = own["bar_id"] < labels.bar
+        last = own.iloc[-1].to_dict() if len(own) and not own["closed"].iloc[-1] else None
+        state.update((pickle.dumps((labels, price, sign, last)),))
+        own.insert(0, "symbol", key[0])
+        yield own
+
+    return trades.groupBy("symbol").applyInPandasWithState(fold, IMBALANCE_SCHEMA, "state binary", "append", GroupStateTimeout.NoTimeout)
