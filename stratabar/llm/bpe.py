@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +13,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratabar.llm.chunks import BETWEEN_SPACES, WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
-from stratabar.llm.common import table
+from stratabar.llm.common import held_by_worker, small_batches, table
 
 #: Fragments with more symbols are merged by a queue instead of scans.
 LONG_FRAGMENT = 64
+#: Fragments a worker remembers, of either kind, in each of two generations.
+FRAGMENTS = 50_000
 #: Bytes of results that go back to the JVM at once.
 BATCH_BYTES = 8 << 20
 
@@ -55,7 +56,8 @@ class ForcedBoundaryBPE:
                 self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.chunk = WITH_SPACES if self.keeps_spaces else BETWEEN_SPACES
         self.chunks = ChunkCache(self._encode_chunk, apart=True)
-        self.middle, self.last = ChunkCache(lambda f: self._merged(list(f))), ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]))
+        self.middle = ChunkCache(lambda f: self._merged(list(f)), entries=FRAGMENTS)
+        self.last = ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]), entries=FRAGMENTS)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -146,9 +148,8 @@ class ForcedBoundaryBPE:
         return [s for s in symbols if s]
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(path)
+    return held_by_worker(("bpe", path), lambda: ForcedBoundaryBPE(path))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,6 +162,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer_path)

@@ -47,6 +47,27 @@ def literal_rows(spark: SparkSession, json_rows: str, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json_rows), f"array<struct<{schema}>>")))
 
 
+#: Rows that go to Python at once, at most; Spark's own bound is 10,000 rows or 64 MB.
+BATCH_ROWS = 2000
+
+_held: dict[object, object] = {}
+
+
+def held_by_worker(name: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task. Only the last operator's: another name drops what was held."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send at most BATCH_ROWS rows to Python at once: texts may be long. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], added: str, compute: Callable[[list[str]], list[pa.Array]], rows_at_once: int = 256) -> DataFrame:
     """docs' columns named in keep, and those that compute makes of the texts (null: empty), declared in `added`.
 
@@ -57,6 +78,7 @@ def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], added: str, c
     new = [f.name for f in StructType.fromDDL(added)]
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]]
     made = [f"a{i} {f.dataType.simpleString()}" for i, f in enumerate(StructType.fromDDL(added))]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,5 +86,6 @@ def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], added: str, c
                 some = batch.slice(at, rows_at_once)
                 arrays = compute(some.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *arrays], [*some.schema.names[1:], *[f"a{i}" for i in range(len(arrays))]])
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, ", ".join(kept + made)).toDF(*keep, *new)

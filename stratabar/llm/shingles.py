@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from stratabar.llm.common import held_by_worker
+
 #: Words of a shingle.
 WORDS = 5
 #: Distinct words whose hashes a worker remembers.
@@ -25,16 +27,14 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes. Words are runs of anything but ASCII white space; a text
     of fewer than WORDS words is one shingle; without words the set is empty."""
     words = (text or "").encode("utf-8", "replace").split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = held_by_worker("shingles", WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(WORDS, len(h))
     n = len(h) - k + 1
     out = np.full(n, np.uint64(k), np.uint64)

@@ -12,7 +12,6 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from stratabar.llm.chunks import WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
-from stratabar.llm.common import shared_dir, table
+from stratabar.llm.common import held_by_worker, shared_dir, small_batches, table
 
 SEQUENCE = 2048
 #: Sequences of a record batch.
@@ -65,9 +64,8 @@ class LibraryEncoder:
         return b"".join(map(self.chunks.__getitem__, WITH_SPACES.findall(text)))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return held_by_worker(("library", path), lambda: LibraryEncoder(path))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -141,6 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, length:
     texts are empty (one END_ID). Other columns are not carried. An empty table gives no parts.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
