@@ -5,9 +5,7 @@ Doubles are rounded on both sides, for sums of doubles depend on their order in
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 from collections.abc import Callable
 from tempfile import mkdtemp
 
@@ -425,14 +423,11 @@ def first_trades(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TRADES_SQL} SELECT trade_id, round(price, 6) AS price, round(quantity, 6) AS quantity, round(quote_quantity, 4) AS quote_quantity, time, is_buyer_maker FROM trades")
 def ingest_zip(spark: SparkSession, d: str) -> DataFrame:
     """Trades written as zipped CSV files, with and without a header, and read back by the archive reader."""
-    folder = mkdtemp(prefix="stratabar-zip-")
-    rows = trades_from_events(spark, d).select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker").collect()  # makes the fixture
-    for n in range(4):
-        lines = [",".join(str(v) for v in r) for r in rows[n::4]]
-        head = ["id,price,qty,quote_qty,time,is_buyer_maker"] if n % 2 else []
-        with zipfile.ZipFile(os.path.join(folder, f"part-{n}.zip"), "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(f"part-{n}.csv", "\n".join(head + lines) + "\n")
-    out = ingest.read_archives(spark, f"file://{folder}/*.zip", DataType.TRADES).drop("source_file")
+    folder, trades = _file(spark, "zip"), trades_from_events(spark, d).select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker")
+    named = trades.withColumnsRenamed({"trade_id": "id", "quantity": "qty", "quote_quantity": "quote_qty"})
+    ingest.export_archives(named.filter("id % 2 = 0").repartition(2), folder, "named")
+    ingest.export_archives(named.filter("id % 2 = 1").repartition(2), folder, "bare", header=False)
+    out = ingest.read_archives(spark, f"{folder}/*.zip", DataType.TRADES).drop("source_file")
     return rounded(out).withColumn("quote_quantity", F.round("quote_quantity", 4))
 
 
@@ -498,15 +493,13 @@ def frequency_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(4 AS BIGINT) AS total, CAST(3 AS BIGINT) AS successful, CAST(1 AS BIGINT) AS failed")
 def process_archives(spark: SparkSession, d: str) -> DataFrame:
     """Four archives of which one is broken: three are ingested."""
-    folder = mkdtemp(prefix="stratabar-zip-")
-    for n in range(4):
-        with open(os.path.join(folder, f"part-{n}.zip"), "wb") as f:
-            if n == 2:
-                f.write(b"no archive")
-                continue
-            with zipfile.ZipFile(f, "w") as z:
-                z.writestr("x.csv", f"{n},1.5,2,3,1700000000000,true\n")
-    got = ingest.process_downloaded_files(spark, f"file://{folder}/*.zip", DataType.TRADES, "SYM", _file(spark, "lake"))
+    folder = _file(spark, "zip")
+    row = spark.range(3).selectExpr("id", "1.5 AS price", "2 AS qty", "3 AS quote_qty", "1700000000000 AS time", "true AS is_buyer_maker")
+    ingest.export_archives(row.repartitionByRange(3, "id"), folder)
+    fs, path = ingest.shared_file_system(folder)
+    with fs.open_output_stream(f"{path}/broken.zip") as f:
+        f.write(b"no archive")
+    got = ingest.process_downloaded_files(spark, f"{folder}/*.zip", DataType.TRADES, "SYM", _file(spark, "lake"))
     return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in got.items()])
 
 

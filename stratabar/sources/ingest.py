@@ -8,6 +8,8 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -169,3 +171,35 @@ def process_csv_to_parquet(spark: SparkSession, path: str | Sequence[str], out:
 def process_zip_to_parquet(spark: SparkSession, path: str | Sequence[str], out: str, data_type: DataType) -> DataFrame:
     write_parquet(read_archives(spark, path, data_type).drop("source_file"), out)
     return spark.read.parquet(out)
+
+
+def shared_file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """For a URI that pyarrow knows, or a path."""
+    uri = re.sub(r"^file:/(?=[^/])", "file:///", uri)
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
+def export_archives(df: DataFrame, folder: str, stem: str = "part", header: bool = True) -> DataFrame:
+    """Writes each partition of df as a ZIP archive of one CSV file into `folder`, which all executors must see; returns
+    a row per archive: file, n_rows. An archive shows under its name once it is whole, so retried tasks do no harm."""
+    fs, path = shared_file_system(folder)
+    fs.create_dir(path, recursive=True)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own, root = shared_file_system(folder)
+        name, n = f"{stem}-{task.partitionId():05d}", 0
+        hidden = f"{root}/.{name}.{task.taskAttemptId()}"
+        with own.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{name}.csv", "w") as f:
+            if header:
+                f.write((",".join(names) + "\n").encode())
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                f.write("".join(",".join("" if v is None else str(v) for v in row) + "\n" for row in zip(*columns, strict=True)).encode())
+                n += batch.num_rows
+        own.move(hidden, f"{root}/{name}.zip")
+        yield pa.RecordBatch.from_pydict({"file": [f"{name}.zip"], "n_rows": [n]})
+
+    written = df.mapInArrow(run, "file string, n_rows bigint").collect()  # a row per archive
+    return df.sparkSession.createDataFrame(written, "file string, n_rows bigint")
