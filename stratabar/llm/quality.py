@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratabar.llm.common import map_texts, table
-from stratabar.llm.samples import labelled_sample
+from stratabar.llm.samples import label_share, labelled_sample
 
 #: Features are hashed to 2^BITS weights.
 BITS = 18
@@ -179,7 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     that finds every text good."""
     rows = training_rows(labelled_sample(docs, labels, label, per_class)).orderBy(F.xxhash64("id"), "id").collect()  # 2 x per_class rows at most
     y = np.array([r["y"] for r in rows], float)
-    share = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label).alias("p")).collect()[0]["p"]
+    share = label_share(labels, label)
     if len(set(y)) < 2:
         return QualityModel(np.zeros(1 << BITS), bias=5.0)
     slots = [np.frombuffer(r["slots"], "<i4") for r in rows]

@@ -39,6 +39,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return checkpointed(keyed.select("id", "text", "y"))
 
 
+def label_share(labels: DataFrame, label: str, id_col: str = "doc_id") -> float | None:
+    """The share of label 1 among the labelled rows that are not held out."""
+    return labels.filter(F.col(label).isin(0, 1) & (fold(id_col) != 1)).agg(F.avg(label)).first()[0]
+
+
 def _keys(texts: list[str]) -> list[pa.Array]:
     rows = []
     for text in texts:

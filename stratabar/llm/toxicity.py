@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratabar.llm.common import held_out, map_texts, table
-from stratabar.llm.samples import labelled_sample
+from stratabar.llm.samples import label_share, labelled_sample
 
 #: Labelled rows of each class that the lexicon and its calibration are fitted on, at most.
 FIT_PER_CLASS = 3000
@@ -200,8 +200,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     """The lexicon and calibration from labelled rows outside the held-out third."""
     sample = labelled_sample(docs, labels, label, per_class)
     lexicon = learn_lexicon(sample)
-    shares = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label).alias("prior")).collect()[0]["prior"]
-    return calibrate(lexicon, sample, min(0.9, max(0.01, shares or 0.01)))
+    return calibrate(lexicon, sample, min(0.9, max(0.01, label_share(labels, label) or 0.01)))
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -88,6 +88,16 @@ def test_toxicity_held_out(spark, tables):
     assert toxicity.score_toxicity(edge(spark).limit(0), lexicon).count() == 0
 
 
+def test_models_don_t_see_held_out_labels(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    from pyspark.sql import functions as F
+
+    turned = labels.withColumns({c: F.when(held_out("doc_id"), 1 - F.col(c)).otherwise(F.col(c)) for c in ("toxic", "quality")})
+    assert toxicity.fit_toxicity(docs, labels) == toxicity.fit_toxicity(docs, turned)
+    a, b = quality.fit_quality(docs, labels), quality.fit_quality(docs, turned)
+    assert np.array_equal(a.weights, b.weights) and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+
+
 def test_models_without_labels(spark):
     none = no_labels(spark)
     assert all(r["score"] < 0.7 for r in toxicity.score_toxicity(edge(spark), toxicity.fit_toxicity(edge(spark), none)).collect())
