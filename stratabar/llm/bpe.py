@@ -48,6 +48,7 @@ class ForcedBoundaryBPE:
         self.keeps_spaces = (spec["decoder"] or {}).get("type") == "ByteLevel"
         self.shown = byte_letters()
         self.letters = {c: b for b, c in self.shown.items()}
+        self._bytes = {t: bytes(map(self.letters.__getitem__, t)) if all(c in self.letters for c in t) else t.encode() for t in self.tokens}
         self.lower = self.normalizer is not None and self.normalizer.normalize_str("A") == "a"
         self.inside: set[str] = set()
         for token in self.vocab:
@@ -70,8 +71,7 @@ class ForcedBoundaryBPE:
         tokens = map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())
         if not self.keeps_spaces:
             return " ".join(tokens)
-        letters = self.letters
-        return b"".join(bytes(map(letters.__getitem__, t)) for t in tokens).decode("utf-8", "replace")
+        return b"".join(map(self._bytes.__getitem__, tokens)).decode("utf-8", "replace")
 
     def fragments(self, word: str) -> list[str]:
         inside, out, start = self.inside, [], 0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -30,6 +31,14 @@ def test_same_as_the_library(name):
         assert bpe.decode(got) == library.decode(want, skip_special_tokens=False), repr(text)
 
 
+@pytest.mark.parametrize("name", PATHS)
+def test_every_letter_of_many_scripts(name):
+    bpe, library = ForcedBoundaryBPE(PATHS[name]), Tokenizer.from_file(PATHS[name])
+    texts = [f"a{chr(c)}B {chr(c)} {chr(c)}{chr(c)}x" for c in [*range(0x3100), 0xFEFF, 0xFF21, 0xFB01, 0x1F600] if not 0xD800 <= c < 0xE000]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == want.ids, repr(text)
+
+
 def test_cuts_are_pairs_inside_no_token():
     bpe = ForcedBoundaryBPE(PATHS["word_bpe_49k"])
     rng, cut = random.Random(5), 0

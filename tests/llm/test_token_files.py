@@ -16,6 +16,13 @@ def test_encoder_is_the_library():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_every_letter_of_many_scripts():
+    enc, library = LibraryEncoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"a{chr(c)}B {chr(c)} {chr(c)}{chr(c)}x" for c in range(0x3100)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want.ids, repr(text)
+
+
 def test_written_and_read(spark, tmp_path):
     texts = [None, "", "Hello world!", "same", "same", "long text " * 900]
     rows = [(i * 7 % 11, t, 0) for i, t in enumerate(texts)] + [(None, "no id", 0), (3, "another", 0)]
