@@ -8,7 +8,6 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,45 +147,47 @@ def window_hashes(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 class Benchmark:
-    """The windows of a block of items, by hash."""
+    """The windows of a block of items: for each length sorted hashes, and the item and place of each."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.templates = Templates(t.lower() for _, text in items for t in _TOKENS.findall(text) if not t[0].isdigit())
         self.ids, self.slots, self.needed = [], [], []
-        windows: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item, text in items:
             tokens, owner, chunks, _ = self.templates.tokens([text])
             length = min(WINDOW, len(tokens))
             starts, hashes = window_hashes(tokens, length) if length else ([], [])
             if not len(starts):
                 continue
-            number = len(self.ids)
+            parts[length].append((hashes, np.full(len(starts), len(self.ids), np.int32), starts.astype(np.int32)))
             self.ids.append(item)
             self.slots.append({p: (int(tokens[p]), Templates.slot(p, owner, chunks)) for p in np.flatnonzero((tokens < _FIRST_WORD) & (tokens != OTHER)).tolist()})
             self.needed.append(len(starts))
-            for p, h in zip(starts.tolist(), hashes.tolist(), strict=True):
-                windows[length][h].append((number, p))
-        self.windows = {k: dict(v) for k, v in windows.items()}
-        self.sorted = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in self.windows.items()}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length, own in parts.items():
+            hashes, numbers, places = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.windows[length] = (hashes[order], numbers[order], places[order])
 
     def leaks(self, texts: list[str]) -> list[list[dict]]:
         tokens, owner, chunks, stops = self.templates.tokens(texts)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for length, known in self.sorted.items():
+        found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for length, (known, _, _) in self.windows.items():
             starts, hashes = window_hashes(tokens, length)
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = np.flatnonzero(known[at] == hashes)
-            starts, hashes = starts[hit], hashes[hit]
+            first = np.searchsorted(known, hashes)
+            hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == hashes)
+            starts, first, last = starts[hit], first[hit], np.searchsorted(known, hashes[hit], side="right")
             text = np.searchsorted(stops, starts, side="right") - 1
             inside = starts + length <= stops[text + 1]
             for k in np.flatnonzero(inside).tolist():
-                found[int(text[k])].append((int(starts[k]), length, int(hashes[k])))
+                found[int(text[k])].append((int(starts[k]), length, int(first[k]), int(last[k])))
         return [self._leaks(found[k], owner, chunks) if k in found else [] for k in range(len(texts))]
 
-    def _leaks(self, windows: list[tuple[int, int, int]], owner: np.ndarray, chunks: list[str]) -> list[dict]:
+    def _leaks(self, windows: list[tuple[int, int, int, int]], owner: np.ndarray, chunks: list[str]) -> list[dict]:
         hits: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for start, length, h in windows:
-            for item, p in self.windows[length][h]:
+        for start, length, first, last in windows:
+            _, numbers, places = self.windows[length]
+            for item, p in zip(numbers[first:last].tolist(), places[first:last].tolist(), strict=True):
                 hits[item][start - p].append((p, length))
         out = []
         for item, alignments in sorted(hits.items()):
