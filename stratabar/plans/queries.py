@@ -19,6 +19,7 @@ from stratabar.operators import dollarbars, imbalance, resample, stats, timebars
 from stratabar.plans.trades import EXACT_SQL, TRADES_SQL, trades_from_events, trades_from_rows
 from stratabar.schemas import DataType, Frequency, to_candle_names
 from stratabar.sources import catalog, ingest
+from stratabar.sources.pipeline import ingest_range
 from stratabar.streaming.bars import stream_dollar_bars, stream_imbalance_bars, stream_time_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,3 +547,16 @@ def concat_parts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TRADES_SQL} SELECT trade_id, symbol FROM trades")
 def shuffled_sample(spark: SparkSession, d: str) -> DataFrame:
     return stats.sample_shuffled(trades_from_events(spark, d).select("trade_id", "symbol"), "trade_id")
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, time, year_month, symbol FROM (SELECT trade_id, time, '2024_01' AS year_month, 'SYM' AS symbol FROM trades WHERE time >= 1704153600000 AND time < 1704326400000)")
+def archive_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Three days of trades as archives; two of them are asked for, twice."""
+    folder, out = _file(spark, "zip"), _file(spark, "lake")
+    trades = trades_from_events(spark, d).select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker")
+    for k in range(1, 4):
+        day = 1704067200000 + k * TimeInterval.DAY
+        ingest.export_archives(trades.filter((F.col("time") >= day) & (F.col("time") < day + TimeInterval.DAY)).repartition(1), folder, f"SYM-trades-2024-01-{k + 1:02d}")
+    for _ in range(2):
+        ingest_range(spark, folder, DataType.TRADES, "SYM", "2024-01-02", "2024-01-03", out)
+    return spark.read.parquet(out).select("trade_id", "time", F.col("year_month").cast("string").alias("year_month"), "symbol")
