@@ -18,7 +18,7 @@ from stratabar.llm.common import held_by_worker, small_batches, table
 #: Fragments with more symbols are merged by a queue instead of scans.
 LONG_FRAGMENT = 64
 #: Fragments a worker remembers, of either kind, in each of two generations.
-FRAGMENTS = 50_000
+FRAGMENTS = 150_000
 #: Bytes of results that go back to the JVM at once.
 BATCH_BYTES = 8 << 20
 
