@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import literal_rows, table
+from stratabar.llm.common import checkpointed, literal_rows, table
 
 #: Hex digits of a digest that the join uses.
 PREFIX_DIGITS = 8
@@ -83,8 +83,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str =
         .groupBy(F.substring("digest", 1, PREFIX_DIGITS).alias("prefix"))
         .agg(F.collect_list(F.struct("digest", "is")).alias("rules"))
     )
-    if len(rules) <= MAX_BROADCAST_RULES:
-        by_prefix = F.broadcast(by_prefix)
+    # cut off, a long list is dealt anew by the join, which can then split what meets a prefix that many URLs have
+    by_prefix = F.broadcast(by_prefix) if len(rules) <= MAX_BROADCAST_RULES else checkpointed(by_prefix)
     joined = expanded.join(by_prefix, "prefix", "left")
     confirmed = F.array_max(F.transform(F.filter("rules", lambda r: r["digest"] == F.col("digest")), lambda r: r["is"]))
     best = joined.groupBy("id", "host", "path", "part").agg((F.count(F.lit(1)) / F.max("n_exprs")).cast("bigint").alias("copies"), F.max(confirmed).alias("best"))

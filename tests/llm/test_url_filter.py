@@ -2,6 +2,7 @@ from collections import Counter
 
 import pytest
 
+from stratabar.llm import url_filter
 from stratabar.llm.url_filter import QUERY_RULES, judge_urls
 
 URLS = [
@@ -26,8 +27,10 @@ def brute(url, rules, default="allow"):
     return host, path, best[3] if best else None, best[4] if best else default
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
 @pytest.mark.parametrize("rules", [QUERY_RULES, [], [("block", "com"), ("allow", "x.com:80/e"), ("block", "net/e"), ("allow", "x.net/es"), ("block", "x.net/es"), ("block", "b/c")]])
-def test_against_brute_force(spark, rules):
+def test_against_brute_force(spark, monkeypatch, rules, most):
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", most)
     rows = [(i, u, "old", 1) for i, u in enumerate(URLS)] + [(None, "http://a.com/", "x", 2), (3, None, "x", 2)] + [(7, "http://b.net/fr/x", "x", 3)] * 5
     pages = spark.createDataFrame(rows, "page_id bigint, url string, host string, verdict int").repartition(3)
     got = Counter(tuple(r) for r in judge_urls(pages, rules).collect())
