@@ -19,8 +19,8 @@ WINDOW = 8
 LEAST_WINDOWS = 5
 #: Tokens of a window that must be words, not placeholders, or one in three if the window is shorter.
 LEAST_WORDS = 3
-#: Items whose windows are sent to the workers at once; more are searched in further passes.
-BLOCK_ITEMS = 20_000
+#: Items and characters whose windows are sent to the workers at once; more are searched in further passes.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 10_000_000
 #: Chunks a worker remembers in each of two generations.
 CACHE_CHUNKS = 400_000
 #: Units that may follow a number.
@@ -232,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     searched. Null and empty documents have no leaks; null and empty items, and items without enough words, can't
     leak; repeated items are reported each. An empty benchmark finds nothing; an empty table gives no rows.
 
-    The window tables of BLOCK_ITEMS items go to the workers at once, so a larger benchmark takes more passes over the
+    The window tables of BLOCK_ITEMS items or BLOCK_CHARS characters go to the workers at once, so a larger benchmark takes more passes over the
     documents and no more memory. No shuffle.
     """
     kind = benchmark.schema[item_col].dataType.simpleString()
@@ -247,11 +247,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _blocks(items: DataFrame) -> Iterable[list[tuple[object, str]]]:
     block: list[tuple[object, str]] = []
+    size = 0
     for r in items.toLocalIterator():
         block.append((r["id"], r["text"]))
-        if len(block) == BLOCK_ITEMS:
+        size += len(r["text"])
+        if len(block) == BLOCK_ITEMS or size >= BLOCK_CHARS:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 
