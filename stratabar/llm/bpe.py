@@ -17,8 +17,10 @@ from stratabar.llm.common import held_by_worker, small_batches, table
 
 #: Fragments with more symbols are merged by a queue instead of scans.
 LONG_FRAGMENT = 64
+#: Chunks a worker remembers in each of two generations: fewer than where ids are 16 bits wide and nothing is decoded.
+CHUNKS = 300_000
 #: Fragments a worker remembers, of either kind, in each of two generations.
-FRAGMENTS = 150_000
+FRAGMENTS = 50_000
 #: Bytes of results that go back to the JVM at once.
 BATCH_BYTES = 8 << 20
 
@@ -56,7 +58,7 @@ class ForcedBoundaryBPE:
                 body = token.removesuffix(self.suffix) if self.suffix else token
                 self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.chunk = WITH_SPACES if self.keeps_spaces else BETWEEN_SPACES
-        self.chunks = ChunkCache(self._encode_chunk, apart=True)
+        self.chunks = ChunkCache(self._encode_chunk, apart=True, entries=CHUNKS)
         self.middle = ChunkCache(lambda f: self._merged(list(f)), entries=FRAGMENTS)
         self.last = ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]), entries=FRAGMENTS)
 
