@@ -18,7 +18,8 @@ from stratabar.llm.shingles import intersections, minima, shingle_set, sorted_gr
 SIMILARITY = 0.8
 #: Part of the pairs at SIMILARITY itself that the runs find, at least; closer pairs are found more often.
 TARGET_RECALL = 0.999
-#: Hash functions of a sketch: each samples one token of a set, the same one for sets that share their least.
+#: Hash functions of a sketch that are compared: each samples one token of a set, the same one for sets that share
+#: their least. A sketch has more where the runs need more, as no two runs share one.
 FUNCTIONS = 64
 #: Sets of a bucket that are compared with each other in one piece.
 BUCKET = 256
@@ -36,8 +37,13 @@ def plan_runs(n_sets: int, depth: int = DEPTH, recall: float = TARGET_RECALL) ->
     return depth, math.ceil(math.log(1 - recall) / math.log(1 - SIMILARITY**depth))
 
 
-def multipliers() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 63, FUNCTIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+def functions(n_sets: int) -> int:
+    """Hash functions that the plan for n_sets sets, and so for any fewer, can do with."""
+    return max(FUNCTIONS, math.prod(plan_runs(n_sets)))
+
+
+def multipliers(n: int = FUNCTIONS) -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -63,7 +69,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
     whole = whole.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     rows = whole.select("id", "text", "key")
-    nodes = checkpointed(_nodes(rows))
+    nodes = checkpointed(_nodes(rows, functions(docs.count())))
     depth, runs = plan_runs(nodes.count())
     leaves = _leaves(nodes, depth, runs)
     groups = _groups(leaves, nodes, runs)
@@ -81,9 +87,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return kept.dropDuplicates([id_col, "text_key"]).select("row.*")  # rows that repeat id and text
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
+def _nodes(rows: DataFrame, n_functions: int) -> DataFrame:
     """key, rep (least id), copies, size, sketch: one row for each distinct text with words."""
-    a = multipliers()
+    a = multipliers(n_functions)
 
     def compute(texts: list[str]) -> list[pa.Array]:
         sets = [shingle_set(t) for t in texts]
@@ -97,10 +103,11 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _leaves(nodes: DataFrame, depth: int, runs: int) -> DataFrame:
-    """key, run, leaf, n: the bucket of at least two sets in which each run leaves a set, and its size."""
+    """key, run, leaf, n: the bucket of at least two sets in which each run leaves a set, and its size. Every split of
+    every run has a minimum of its own, so runs are independent."""
 
     def token(run: int, d: int):
-        return F.get("sketch", F.lit((run * 7 + d * 23) % FUNCTIONS))
+        return F.get("sketch", F.lit(run * depth + d))
 
     paths = [F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), token(r, 0)).alias("leaf"), F.array(*[token(r, d) for d in range(1, depth)]).alias("rest")) for r in range(runs)]
     open_rows = nodes.select("key", F.inline(F.array(*paths)))
@@ -120,8 +127,8 @@ def _leaves(nodes: DataFrame, depth: int, runs: int) -> DataFrame:
 
 
 def _groups(leaves: DataFrame, nodes: DataFrame, runs: int) -> DataFrame:
-    """The sets of each bucket with their sketches and all their leaves. Buckets beyond BUCKET become pairs of blocks:
-    g is the bucket or the pair, side is 0, or 0 and 1 for the two blocks of a pair."""
+    """The sets of each bucket with FUNCTIONS of their minima and all their leaves. Buckets beyond BUCKET
+    become pairs of blocks: g is the bucket or the pair, side is 0, or 0 and 1 for the two blocks of a pair."""
     per_key = leaves.groupBy("key").agg(F.array(*[F.coalesce(F.max(F.when(F.col("run") == r, F.col("leaf"))), F.lit(0)) for r in range(runs)]).alias("leaves"))
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(5), "key"), F.col("blocks")).cast("int")
@@ -134,7 +141,7 @@ def _groups(leaves: DataFrame, nodes: DataFrame, runs: int) -> DataFrame:
             F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
-    return dealt.join(per_key.join(nodes, "key"), "key").select("g", "side", "run", "key", "rep", "copies", "leaves", "size", "sketch")
+    return dealt.join(per_key.join(nodes, "key"), "key").select("g", "side", "run", "key", "rep", "copies", "leaves", "size", F.slice("sketch", 1, FUNCTIONS).alias("sketch"))
 
 
 def _mapped(spark: SparkSession, rows: DataFrame, fn, schema: str) -> DataFrame:

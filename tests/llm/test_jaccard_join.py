@@ -96,6 +96,30 @@ def test_plan_of_runs():
     assert deeper > depth and more > runs and (1 - 0.8**deeper) ** more <= 1 - jaccard_join.TARGET_RECALL
 
 
+@pytest.mark.parametrize("n_sets", [15 * 10**6, 10**8])
+def test_recall_of_the_runs(spark, monkeypatch, n_sets):
+    """Pairs of sketches that agree at SIMILARITY meet in some leaf of the runs as often as the plan says."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 0)  # split all the way
+    depth, runs = plan_runs(n_sets)
+    rng, n = np.random.default_rng(2), 3000
+    size = jaccard_join.functions(n_sets)
+    one, two = rng.integers(0, 1 << 31, (2, n, size))
+    two = np.where(rng.random((n, size)) < jaccard_join.SIMILARITY, one, two)
+    rows = [(k, s.tolist()) for pair in (one, two) for k, s in enumerate(pair)]
+    nodes = spark.createDataFrame([(f"{i}", k, s) for i, (k, s) in enumerate(rows)], "key string, pair int, sketch array<int>")
+    met = jaccard_join._leaves(nodes, depth, runs).join(nodes.select("key", "pair"), "key")
+    share = met.groupBy("leaf", "pair").count().filter("count = 2").select("pair").distinct().count() / n
+    assert share >= 0.9975
+
+
+def test_no_two_runs_share_a_function():
+    for n_sets in (0, 10**6, 2 * 10**7, 10**8, 10**9, 10**10):
+        depth, runs = plan_runs(n_sets)
+        assert depth * runs <= jaccard_join.functions(n_sets) <= jaccard_join.functions(4 * n_sets)
+    assert jaccard_join.functions(10**6) == jaccard_join.FUNCTIONS
+    assert np.array_equal(jaccard_join.multipliers(500)[: jaccard_join.FUNCTIONS], jaccard_join.multipliers())
+
+
 def test_shingles():
     a, b = "a b c d e f g h", "a b c d e f x h"
     assert len(shingle_set(a)) == 4 and intersections([shingle_set(a), shingle_set(b)])[0, 1] == len(plain_shingles(a) & plain_shingles(b))
