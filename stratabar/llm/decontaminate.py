@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,31 @@ UNITS = frozenset(
     "usd eur gbp dollar dollars cent cents euro euros percent degrees degree kmh mph hz khz mhz ghz w kw kwh v a j kj cal kcal pa kpa bar".split()
 ) | frozenset("%$€£°")
 
+_ONES, _TENS = "one two three four five six seven eight nine", "twenty thirty forty fifty sixty seventy eighty ninety"
+#: Words that may stand for a number. Each counts as a number of its own ("two hundred" is two), but for twenty-one.
+NUMBER_WORDS = frozenset(f"zero {_ONES} ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen {_TENS} hundred thousand million billion dozen".split()) | frozenset(
+    f"{a}-{b}" for a in _TENS.split() for b in _ONES.split()
+)
+#: Words that begin sentences and are no names there, unless the item has them with a capital inside a sentence too.
+STARTERS = frozenset(
+    "a an the this that these those each every all both some any no one another other many most more much few several such what who whom whose which when where why how "
+    "i you he she it we they his her its their our my your there here if in on at by for from of to with without into over under after before during since until while as because although though "
+    "and but or so then thus hence therefore however also now next first second third last finally once is are was were be been am do does did has have had can could will would shall should may might must let "
+    "given suppose assume consider find calculate compute determine solve write read choose select explain describe name list show prove use using draw state give estimate evaluate simplify complete fill answer question "
+    "only not yes true false note example please tell about between among per round add subtract multiply divide".split()
+)
+
 NUMBER, NAME, UNIT, OTHER = 1, 2, 3, 0
 _FIRST_WORD = 4
 #: Stands for a line's end among the chunks.
 _BREAK = "\ue000"
-_TOKENS = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]")
+_TOKENS = re.compile(rf"(?i:\b(?:{_TENS.replace(' ', '|')})-(?:{_ONES.replace(' ', '|')})\b)|" r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]")
 _ENDS = re.compile(r"[.!?:][\"'”’)\]*]*$")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+#: A factor for each place of a window.
+_PLACES = np.random.default_rng(4).integers(1, 1 << 63, WINDOW).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Readings of windows that are hashed at once, about.
+_AT_ONCE = 1 << 20
 
 
 class _Chunks(dict):
@@ -47,7 +65,7 @@ class _Chunks(dict):
         super().__init__()
         self.words, self.new = words, []
         self.ends, self.first, self.size = np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.at_start, self.inside, self.units = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.at_start, self.inside, self.also, self.units = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         self.n_chunks = self.n_tokens = 0
 
     def __missing__(self, chunk: str) -> int:
@@ -57,7 +75,7 @@ class _Chunks(dict):
 
     def settle(self) -> None:
         """Fills the arrays for the chunks met since the last time."""
-        ends, size, at_start, inside, units = [], [], [], [], []
+        ends, size, at_start, inside, also, units = [], [], [], [], [], []
         for chunk in self.new:
             ends.append(chunk == _BREAK or (not chunk[-1].isalnum() and _ENDS.search(chunk) is not None))
             tokens = [chunk] if chunk.isalpha() else _TOKENS.findall(chunk)
@@ -68,10 +86,11 @@ class _Chunks(dict):
                 name = NAME if len(token) > 1 and token[0].isupper() and token[1:].islower() else word
                 at_start.append(name if k else word)
                 inside.append(name)
+                also.append(NUMBER if low in NUMBER_WORDS else name)
                 units.append(low in UNITS)
         self.new = []
         first = self.n_tokens + np.cumsum(np.append(0, size))[:-1].astype(np.int64)
-        for name, more, filled in (("ends", ends, self.n_chunks), ("first", first, self.n_chunks), ("size", size, self.n_chunks), ("at_start", at_start, self.n_tokens), ("inside", inside, self.n_tokens), ("units", units, self.n_tokens)):
+        for name, more, filled in (("ends", ends, self.n_chunks), ("first", first, self.n_chunks), ("size", size, self.n_chunks), ("at_start", at_start, self.n_tokens), ("inside", inside, self.n_tokens), ("also", also, self.n_tokens), ("units", units, self.n_tokens)):
             own = getattr(self, name)
             if filled + len(more) > len(own):
                 own = np.concatenate([own, np.zeros(max(len(own), len(more), 1 << 16), own.dtype)])
@@ -83,8 +102,9 @@ class _Chunks(dict):
 
 class Templates:
     """Texts as template tokens over the words of the benchmark: a number, name or unit is its type, a word of the
-    benchmark is itself, any other word matches nothing. A name is a word with one capital, its first letter, that
-    doesn't begin a sentence or a line."""
+    benchmark is itself, any other word matches nothing. A name is a word with one capital, its first letter. Two
+    readings are kept of a word that begins a sentence or a line so, itself and a name, of a number word, itself and a
+    number, and of a unit after one."""
 
     def __init__(self, words: Iterable[str] = ()):
         self.words = {w: i for i, w in enumerate(dict.fromkeys(words), _FIRST_WORD)}
@@ -97,9 +117,9 @@ class Templates:
         self.words = state["words"]
         self.known = _Chunks(self.words)
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Of all texts on end: template tokens, the chunk of each, the chunks, and where each text's tokens start (one
-        more for the end). A break after each text matches nothing."""
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Of all texts on end: template tokens, their second readings (or the same again), the chunk of each, the
+        chunks, and where each text's tokens start (one more for the end)."""
         if len(self.known) > CACHE_CHUNKS:
             self.known = _Chunks(self.words)
         chunks: list[str] = []
@@ -119,11 +139,12 @@ class Templates:
         place = np.arange(len(owner)) - offsets[owner] + known.first[at][owner]
         starts = np.append(True, ends[:-1])[owner]
         tokens = np.where(starts, known.at_start[place], known.inside[place])
+        also = known.also[place]
         unit = known.units[place]
-        if len(unit):
-            unit[1:] &= tokens[:-1] == NUMBER
-            unit[0] = False
-        return np.where(unit, UNIT, tokens), owner, chunks, offsets[np.array(stops)]
+        unit[:1] = False
+        after = lambda x: unit & np.append(False, x[:-1] == NUMBER)[: len(unit)]
+        tokens, also = np.where(after(tokens), UNIT, tokens), np.where(after(also) | after(tokens), UNIT, also)
+        return np.where(tokens == OTHER, also, tokens), also, owner, chunks, offsets[np.array(stops)]
 
     @staticmethod
     def slot(place: int, owner: np.ndarray, chunks: list[str]) -> str:
@@ -132,18 +153,33 @@ class Templates:
         return _TOKENS.findall(chunks[owner[place]])[k].lower()
 
 
-def window_hashes(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows that hold enough words and no unknown one."""
+def window_hashes(tokens: np.ndarray, also: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, hashes), in parts, of the readings of windows that hold enough words and no unknown one."""
     n = len(tokens) - length + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return
     sums = lambda x: np.cumsum(np.append(0, x))[length:] - np.cumsum(np.append(0, x))[:-length]
-    starts = np.flatnonzero((sums(tokens == OTHER) == 0) & (sums(tokens >= _FIRST_WORD) >= min(LEAST_WORDS, -(-length // 3))))
-    h = np.full(len(starts), np.uint64(length), np.uint64)
-    for i in range(length if len(starts) else 0):
-        h = (h + tokens[starts + i].astype(np.uint64)) * _MIX[0]
-        h ^= h >> np.uint64(32)
-    return starts, (h * _MIX[1]) ^ (h >> np.uint64(29))
+    need = min(LEAST_WORDS, -(-length // 3))
+    words, two = tokens >= _FIRST_WORD, tokens != also
+    held = sums(words)
+    starts = np.flatnonzero((sums(tokens == OTHER) == 0) & (held >= need))
+    mixed = tokens.astype(np.uint64) * _MIX[0]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[1]
+    other = also.astype(np.uint64) * _MIX[0]
+    other = (other ^ (other >> np.uint64(32))) * _MIX[1] - mixed
+    part = np.cumsum(1 << sums(two)[starts]) // _AT_ONCE
+    for own in np.split(starts, np.flatnonzero(np.diff(part)) + 1) if len(starts) else []:
+        h = np.zeros(len(own), np.uint64)
+        for i in range(length):
+            h += mixed[own + i] * _PLACES[i]
+        left = held[own]
+        for i in range(length):
+            k = np.flatnonzero(two[own + i])
+            k = k[left[k] - words[own[k] + i] >= need]
+            h = np.append(h, h[k] + other[own[k] + i] * _PLACES[i])
+            left = np.append(left, left[k] - words[own[k] + i])
+            own = np.append(own, own[k])
+        yield own, h ^ (h >> np.uint64(29))
 
 
 class Benchmark:
@@ -151,18 +187,24 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[object, str]]):
         self.templates = Templates(t.lower() for _, text in items for t in _TOKENS.findall(text) if not t[0].isdigit())
-        self.ids, self.slots, self.needed = [], [], []
+        self.ids, self.slots, self.firm, self.needed = [], [], [], []
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item, text in items:
-            tokens, owner, chunks, _ = self.templates.tokens([text])
+            tokens, also, owner, chunks, _ = self.templates.tokens([text])
             length = min(WINDOW, len(tokens))
-            starts, hashes = window_hashes(tokens, length) if length else ([], [])
-            if not len(starts):
+            hashed = list(window_hashes(tokens, also, length)) if length else []
+            if not hashed:
                 continue
+            starts, hashes = (np.concatenate(x) for x in zip(*hashed, strict=True))
             parts[length].append((hashes, np.full(len(starts), len(self.ids), np.int32), starts.astype(np.int32)))
             self.ids.append(item)
-            self.slots.append({p: (int(tokens[p]), Templates.slot(p, owner, chunks)) for p in np.flatnonzero((tokens < _FIRST_WORD) & (tokens != OTHER)).tolist()})
-            self.needed.append(len(starts))
+            slots = {p: (int(also[p]), Templates.slot(p, owner, chunks)) for p in np.flatnonzero((also < _FIRST_WORD) & (also != OTHER)).tolist()}
+            two = tokens != also
+            inner = {slots[p] for p in slots if not two[p]}
+            plain = {Templates.slot(p, owner, chunks) for p in np.flatnonzero(also >= _FIRST_WORD).tolist()} | STARTERS
+            self.slots.append(slots)
+            self.firm.append({p: slots[p][0] == NAME and slots[p] not in inner and slots[p][1] in plain for p in slots if two[p]})
+            self.needed.append(len(np.unique(starts)))
         self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length, own in parts.items():
             hashes, numbers, places = (np.concatenate(x) for x in zip(*own, strict=True))
@@ -170,25 +212,25 @@ class Benchmark:
             self.windows[length] = (hashes[order], numbers[order], places[order])
 
     def leaks(self, texts: list[str]) -> list[list[dict]]:
-        tokens, owner, chunks, stops = self.templates.tokens(texts)
+        tokens, also, owner, chunks, stops = self.templates.tokens(texts)
         found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for length, (known, _, _) in self.windows.items():
-            starts, hashes = window_hashes(tokens, length)
-            first = np.searchsorted(known, hashes)
-            hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == hashes)
-            starts, first, last = starts[hit], first[hit], np.searchsorted(known, hashes[hit], side="right")
-            text = np.searchsorted(stops, starts, side="right") - 1
-            inside = starts + length <= stops[text + 1]
-            for k in np.flatnonzero(inside).tolist():
-                found[int(text[k])].append((int(starts[k]), length, int(first[k]), int(last[k])))
+            for starts, hashes in window_hashes(tokens, also, length):
+                first = np.searchsorted(known, hashes)
+                hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == hashes)
+                starts, first, last = starts[hit], first[hit], np.searchsorted(known, hashes[hit], side="right")
+                text = np.searchsorted(stops, starts, side="right") - 1
+                inside = starts + length <= stops[text + 1]
+                for k in np.flatnonzero(inside).tolist():
+                    found[int(text[k])].append((int(starts[k]), length, int(first[k]), int(last[k])))
         return [self._leaks(found[k], owner, chunks) if k in found else [] for k in range(len(texts))]
 
     def _leaks(self, windows: list[tuple[int, int, int, int]], owner: np.ndarray, chunks: list[str]) -> list[dict]:
-        hits: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        hits: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for start, length, first, last in windows:
             _, numbers, places = self.windows[length]
             for item, p in zip(numbers[first:last].tolist(), places[first:last].tolist(), strict=True):
-                hits[item][start - p].append((p, length))
+                hits[item][start - p].add((p, length))
         out = []
         for item, alignments in sorted(hits.items()):
             total = self.needed[item]
@@ -204,21 +246,24 @@ class Benchmark:
                 out.append({"item_id": self.ids[item], "windows": len(found), "of_windows": total, "changed_slots": changed})
         return out
 
-    def _consistent(self, item: int, shift: int, windows: list[tuple[int, int]], owner: np.ndarray, chunks: list[str]) -> tuple[set[int], int]:
+    def _consistent(self, item: int, shift: int, windows: set[tuple[int, int]], owner: np.ndarray, chunks: list[str]) -> tuple[set[int], int]:
         """The windows of one alignment whose slots agree with its one-to-one renaming of slot values, and how many
-        slots have another value than in the item. Each value of the item is renamed as it is most often."""
-        slots = self.slots[item]
+        slots have another value than in the item. Each value of the item is renamed as it is most often. A slot with a
+        second reading may always keep its value, and a firm one (a word that only begins a sentence) must."""
+        slots, firm = self.slots[item], self.firm[item]
         places = sorted({q for p, n in windows for q in range(p, p + n) if q in slots})
         if not places:
             return {p for p, _ in windows}, 0
         read = {q: (slots[q], Templates.slot(q + shift, owner, chunks)) for q in places}
+        lost = {q for q, (own, new) in read.items() if firm.get(q) and own[1] != new}
+        read = {q: (own, new) for q, (own, new) in read.items() if q not in firm or own[1] != new and not firm[q]}
         renamed: dict[tuple[int, str], str] = {}
         taken: set[tuple[int, str]] = set()
         for (own, new), _ in Counter(read.values()).most_common():
             if own not in renamed and (own[0], new) not in taken:
                 renamed[own] = new
                 taken.add((own[0], new))
-        bad = {q for q, (own, new) in read.items() if renamed.get(own) != new}
+        bad = lost | {q for q, (own, new) in read.items() if renamed.get(own) != new}
         kept = {p for p, n in windows if not any(q in bad for q in range(p, p + n))}
         return kept, sum(own[1] != new for q, (own, new) in read.items() if q not in bad)
 

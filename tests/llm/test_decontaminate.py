@@ -38,6 +38,39 @@ def test_inconsistent_slots_are_rejected():
         assert not found or found[0]["windows"] < one(good, [(1, item)])[0]["windows"]
 
 
+TOM = "Tom has 3 apples. Tom buys 5 apples. How many apples does Tom have?"
+WILL = "Will has 3 apples.\nWill will buy 5 apples. How many apples does Will have?"
+
+
+@pytest.mark.parametrize("item", [TOM, WILL])
+@pytest.mark.parametrize("text", ["Ann has 4 apples. Ann buys 9 apples. How many apples does Ann have?", "Ann has four apples. Ann buys twenty-one apples. How many apples does Ann have?", "Well, Ann has 4 apples.\nAnn buys 9 apples. How many apples does Ann have?"])
+def test_names_that_begin_sentences_and_number_words(item, text):
+    text = text.replace("buys", "will buy") if item == WILL else text
+    (found,) = one(text, [(1, item)])
+    assert found["windows"] == found["of_windows"] and found["changed_slots"] > 0
+    mixed = one(text.replace("does Ann", "does Eve").replace("Ann will", "Bob will").replace("Ann buys", "Bob buys"), [(1, item)])
+    assert not mixed or mixed[0]["windows"] < found["windows"]
+
+
+def test_number_words_in_items():
+    item = "Each of the three boys walks seven miles to the old school and carries twelve books home."
+    (found,) = one("Each of the 4 boys walks nine miles to the old school and carries 30 books home.", [(1, item)])
+    assert found["windows"] == found["of_windows"] and found["changed_slots"] == 3
+
+
+def test_words_that_begin_sentences_are_no_names():
+    item = [(1, "What is the capital of France?")]
+    assert one("Paris is the capital of France.", item) == [] and one("London is the capital of England", item) == []
+    assert one("someone asked What is the capital of Spain?", item)[0]["changed_slots"] == 1
+
+
+def test_many_readings(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_AT_ONCE", 500)
+    item = "We count like this: one two three four we go on five six seven eight and so on"
+    (found,) = one("one two three four five six seven eight nine " * 400 + item.replace("eight", "9"), [(1, item)])
+    assert found["windows"] == found["of_windows"] and found["changed_slots"] == 1
+
+
 def test_short_items_and_odd_ones():
     items = [(1, "only four words here"), (2, ""), (3, "12 34 56"), (4, "only four words here"), (5, "...")]
     assert [x["item_id"] for x in one("well only four words here too", items)] == [1, 4]
