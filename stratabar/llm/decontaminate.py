@@ -66,6 +66,7 @@ class _Chunks(dict):
         self.words, self.new = words, []
         self.ends, self.first, self.size = np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64)
         self.at_start, self.inside, self.also, self.units = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.plain = np.empty(0, np.int64)
         self.n_chunks = self.n_tokens = 0
 
     def __missing__(self, chunk: str) -> int:
@@ -75,7 +76,7 @@ class _Chunks(dict):
 
     def settle(self) -> None:
         """Fills the arrays for the chunks met since the last time."""
-        ends, size, at_start, inside, also, units = [], [], [], [], [], []
+        ends, size, at_start, inside, also, plain, units = [], [], [], [], [], [], []
         for chunk in self.new:
             ends.append(chunk == _BREAK or (not chunk[-1].isalnum() and _ENDS.search(chunk) is not None))
             tokens = [chunk] if chunk.isalpha() else _TOKENS.findall(chunk)
@@ -87,10 +88,11 @@ class _Chunks(dict):
                 at_start.append(name if k else word)
                 inside.append(name)
                 also.append(NUMBER if low in NUMBER_WORDS else name)
+                plain.append(self.words.get(low, OTHER))
                 units.append(low in UNITS)
         self.new = []
         first = self.n_tokens + np.cumsum(np.append(0, size))[:-1].astype(np.int64)
-        for name, more, filled in (("ends", ends, self.n_chunks), ("first", first, self.n_chunks), ("size", size, self.n_chunks), ("at_start", at_start, self.n_tokens), ("inside", inside, self.n_tokens), ("also", also, self.n_tokens), ("units", units, self.n_tokens)):
+        for name, more, filled in (("ends", ends, self.n_chunks), ("first", first, self.n_chunks), ("size", size, self.n_chunks), ("at_start", at_start, self.n_tokens), ("inside", inside, self.n_tokens), ("also", also, self.n_tokens), ("plain", plain, self.n_tokens), ("units", units, self.n_tokens)):
             own = getattr(self, name)
             if filled + len(more) > len(own):
                 own = np.concatenate([own, np.zeros(max(len(own), len(more), 1 << 16), own.dtype)])
@@ -117,9 +119,10 @@ class Templates:
         self.words = state["words"]
         self.known = _Chunks(self.words)
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Of all texts on end: template tokens, their second readings (or the same again), the chunk of each, the
-        chunks, and where each text's tokens start (one more for the end)."""
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Of all texts on end: template tokens, their second readings (or the same again), the lower-case words and
+        numbers without placeholders, the chunk of each, the chunks, and where each text's tokens start (one more for
+        the end)."""
         if len(self.known) > CACHE_CHUNKS:
             self.known = _Chunks(self.words)
         chunks: list[str] = []
@@ -144,7 +147,7 @@ class Templates:
         unit[:1] = False
         after = lambda x: unit & np.append(False, x[:-1] == NUMBER)[: len(unit)]
         tokens, also = np.where(after(tokens), UNIT, tokens), np.where(after(also) | after(tokens), UNIT, also)
-        return np.where(tokens == OTHER, also, tokens), also, owner, chunks, offsets[np.array(stops)]
+        return np.where(tokens == OTHER, also, tokens), also, known.plain[place], owner, chunks, offsets[np.array(stops)]
 
     @staticmethod
     def slot(place: int, owner: np.ndarray, chunks: list[str]) -> str:
@@ -153,13 +156,13 @@ class Templates:
         return _TOKENS.findall(chunks[owner[place]])[k].lower()
 
 
-def window_hashes(tokens: np.ndarray, also: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def window_hashes(tokens: np.ndarray, also: np.ndarray, length: int, least: int = LEAST_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, hashes), in parts, of the readings of windows that hold enough words and no unknown one."""
     n = len(tokens) - length + 1
     if n < 1:
         return
     sums = lambda x: np.cumsum(np.append(0, x))[length:] - np.cumsum(np.append(0, x))[:-length]
-    need = min(LEAST_WORDS, -(-length // 3))
+    need = min(least, -(-length // 3))
     words, two = tokens >= _FIRST_WORD, tokens != also
     held = sums(words)
     starts = np.flatnonzero((sums(tokens == OTHER) == 0) & (held >= need))
@@ -173,7 +176,7 @@ def window_hashes(tokens: np.ndarray, also: np.ndarray, length: int) -> Iterator
         for i in range(length):
             h += mixed[own + i] * _PLACES[i]
         left = held[own]
-        for i in range(length):
+        for i in range(length if two.any() else 0):
             k = np.flatnonzero(two[own + i])
             k = k[left[k] - words[own[k] + i] >= need]
             h = np.append(h, h[k] + other[own[k] + i] * _PLACES[i])
@@ -183,69 +186,81 @@ def window_hashes(tokens: np.ndarray, also: np.ndarray, length: int) -> Iterator
 
 
 class Benchmark:
-    """The windows of a block of items: for each length sorted hashes, and the item and place of each."""
+    """The windows of a block of items: for each length and form (template or plain) sorted hashes, and the item and
+    place of each."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.templates = Templates(t.lower() for _, text in items for t in _TOKENS.findall(text) if not t[0].isdigit())
-        self.ids, self.slots, self.firm, self.needed = [], [], [], []
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.templates = Templates(t.lower() for _, text in items for t in _TOKENS.findall(text))
+        self.ids, self.slots, self.firm, self.needed, self.total = [], [], [], [], []
+        parts: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item, text in items:
-            tokens, also, owner, chunks, _ = self.templates.tokens([text])
+            tokens, also, plain, owner, chunks, _ = self.templates.tokens([text])
             length = min(WINDOW, len(tokens))
+            worded = any(t[0].isalpha() for t in _TOKENS.findall(text))
             hashed = list(window_hashes(tokens, also, length)) if length else []
-            if not hashed:
+            if not hashed and not worded:
                 continue
-            starts, hashes = (np.concatenate(x) for x in zip(*hashed, strict=True))
-            parts[length].append((hashes, np.full(len(starts), len(self.ids), np.int32), starts.astype(np.int32)))
+            both = [(False, *x) for x in hashed] + [(True, *x) for x in (window_hashes(plain, plain, length, 0) if worded else [])]
+            for form, starts, hashes in both:
+                parts[length, form].append((hashes, np.full(len(starts), len(self.ids), np.int32), starts.astype(np.int32)))
             self.ids.append(item)
             slots = {p: (int(also[p]), Templates.slot(p, owner, chunks)) for p in np.flatnonzero((also < _FIRST_WORD) & (also != OTHER)).tolist()}
             two = tokens != also
             inner = {slots[p] for p in slots if not two[p]}
-            plain = {Templates.slot(p, owner, chunks) for p in np.flatnonzero(also >= _FIRST_WORD).tolist()} | STARTERS
+            usual = {Templates.slot(p, owner, chunks) for p in np.flatnonzero(also >= _FIRST_WORD).tolist()} | STARTERS
             self.slots.append(slots)
-            self.firm.append({p: slots[p][0] == NAME and slots[p] not in inner and slots[p][1] in plain for p in slots if two[p]})
-            self.needed.append(len(np.unique(starts)))
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length, own in parts.items():
+            self.firm.append({p: slots[p][0] == NAME and slots[p] not in inner and slots[p][1] in usual for p in slots if two[p]})
+            self.needed.append(len(np.unique(np.concatenate([x for x, _ in hashed]))) if hashed else 0)
+            self.total.append(len(tokens) - length + 1 if worded else self.needed[-1])
+        self.windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for kind, own in parts.items():
             hashes, numbers, places = (np.concatenate(x) for x in zip(*own, strict=True))
             order = np.argsort(hashes, kind="stable")
-            self.windows[length] = (hashes[order], numbers[order], places[order])
+            self.windows[kind] = (hashes[order], numbers[order], places[order])
 
     def leaks(self, texts: list[str]) -> list[list[dict]]:
-        tokens, also, owner, chunks, stops = self.templates.tokens(texts)
-        found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for length, (known, _, _) in self.windows.items():
-            for starts, hashes in window_hashes(tokens, also, length):
+        tokens, also, plain, owner, chunks, stops = self.templates.tokens(texts)
+        found: dict[int, list[tuple[int, int, bool, int, int]]] = defaultdict(list)
+        for (length, form), (known, _, _) in self.windows.items():
+            for starts, hashes in window_hashes(plain, plain, length, 0) if form else window_hashes(tokens, also, length):
                 first = np.searchsorted(known, hashes)
                 hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == hashes)
                 starts, first, last = starts[hit], first[hit], np.searchsorted(known, hashes[hit], side="right")
                 text = np.searchsorted(stops, starts, side="right") - 1
                 inside = starts + length <= stops[text + 1]
                 for k in np.flatnonzero(inside).tolist():
-                    found[int(text[k])].append((int(starts[k]), length, int(first[k]), int(last[k])))
+                    found[int(text[k])].append((int(starts[k]), length, form, int(first[k]), int(last[k])))
         return [self._leaks(found[k], owner, chunks) if k in found else [] for k in range(len(texts))]
 
-    def _leaks(self, windows: list[tuple[int, int, int, int]], owner: np.ndarray, chunks: list[str]) -> list[dict]:
+    def _leaks(self, windows: list[tuple[int, int, bool, int, int]], owner: np.ndarray, chunks: list[str]) -> list[dict]:
         hits: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        for start, length, first, last in windows:
-            _, numbers, places = self.windows[length]
+        same: dict[int, set[int]] = defaultdict(set)
+        for start, length, form, first, last in windows:
+            _, numbers, places = self.windows[length, form]
             for item, p in zip(numbers[first:last].tolist(), places[first:last].tolist(), strict=True):
-                hits[item][start - p].add((p, length))
+                if form:
+                    same[item].add(p)
+                else:
+                    hits[item][start - p].add((p, length))
         out = []
-        for item, alignments in sorted(hits.items()):
-            total = self.needed[item]
-            if len({p for a in alignments.values() for p, _ in a}) < min(total, LEAST_WINDOWS):
+        for item in sorted(hits.keys() | same.keys()):
+            alignments = hits[item] if item in hits else {}
+            if not self._enough(item, {p for a in alignments.values() for p, _ in a}, same[item]):
                 continue
             found: set[int] = set()
             changed = 0
-            for shift, windows in alignments.items():
-                kept, other = self._consistent(item, shift, windows, owner, chunks)
+            for shift, own in alignments.items():
+                kept, other = self._consistent(item, shift, own, owner, chunks)
                 found |= kept
                 changed += other
-            if len(found) >= min(total, LEAST_WINDOWS):
-                out.append({"item_id": self.ids[item], "windows": len(found), "of_windows": total, "changed_slots": changed})
+            if self._enough(item, found, same[item]):
+                out.append({"item_id": self.ids[item], "windows": len(found | same[item]), "of_windows": self.total[item], "changed_slots": changed})
         return out
 
+    def _enough(self, item: int, found: set[int], same: set[int]) -> bool:
+        """Whether template windows alone, of those that the item has, or windows of either form are enough."""
+        return bool(found) and len(found) >= min(self.needed[item], LEAST_WINDOWS) or len(found | same) >= min(self.total[item], LEAST_WINDOWS)
+
     def _consistent(self, item: int, shift: int, windows: set[tuple[int, int]], owner: np.ndarray, chunks: list[str]) -> tuple[set[int], int]:
         """The windows of one alignment whose slots agree with its one-to-one renaming of slot values, and how many
         slots have another value than in the item. Each value of the item is renamed as it is most often. A slot with a
@@ -272,10 +287,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per input row: id_col, the columns named in keep, leaks (array of item_id, windows, of_windows,
     changed_slots; empty for clean documents).
 
-    An item leaks into a document that has LEAST_WINDOWS of its template windows (all, if it has fewer), counted
-    where slots are renamed consistently: changed_slots above 0 marks a re-parameterised copy. Whole texts are
-    searched. Null and empty documents have no leaks; null and empty items, and items without enough words, can't
-    leak; repeated items are reported each. An empty benchmark finds nothing; an empty table gives no rows.
+    An item leaks into a document that has LEAST_WINDOWS of its windows (all, if it has fewer) as templates, counted
+    where slots are renamed consistently, or in plain lower case: changed_slots above 0 marks a re-parameterised copy.
+    Whole texts are searched. Null and empty documents have no leaks; null and empty items, and items of numbers alone,
+    can't leak; repeated items are reported each. An empty benchmark finds nothing; an empty table gives no rows.
 
     The window tables of BLOCK_ITEMS items or BLOCK_CHARS characters go to the workers at once, so a larger benchmark takes more passes over the
     documents and no more memory. No shuffle.

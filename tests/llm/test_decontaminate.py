@@ -64,6 +64,14 @@ def test_words_that_begin_sentences_are_no_names():
     assert one("someone asked What is the capital of Spain?", item)[0]["changed_slots"] == 1
 
 
+@pytest.mark.parametrize("item", ["What is the capital of France?", QUESTION, TOM, "Ann, Bob, Eve, Tom, Max, Kim, Joe, Sam, Pam, Ian and Lea", "Ann Bob 12 14 15 16 Eve Max 17 18 19 Kim 20 21 22 23", "Berlin Paris"])
+def test_verbatim_copies_in_any_case(item):
+    for copy in (item, item.lower(), item.upper(), item.title(), item.replace(" ", "\n"), re.sub(r" (?=[A-Z])", "\n", item)):
+        for text in (copy, "someone asked " + copy, "A list. " + copy + " More of it."):
+            (found,) = one(text, [(1, item)])
+            assert found["windows"] == found["of_windows"]
+
+
 def test_many_readings(monkeypatch):
     monkeypatch.setattr(decontaminate, "_AT_ONCE", 500)
     item = "We count like this: one two three four we go on five six seven eight and so on"
