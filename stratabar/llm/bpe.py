@@ -10,15 +10,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from tokenizers import Tokenizer
 
 from stratabar.llm.chunks import BETWEEN_SPACES, WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
-from stratabar.llm.common import held_by_worker, small_batches, table
+from stratabar.llm.common import column, held_by_worker, table
 
 #: Fragments with more symbols are merged by a queue instead of scans.
 LONG_FRAGMENT = 64
-#: Fragments a worker remembers, of either kind, in each of two generations.
-FRAGMENTS = 50_000
+#: Bytes of fragments a worker remembers, of either kind, in each of two generations.
+FRAGMENT_BYTES = 8 << 20
 #: Bytes of results that go back to the JVM at once.
 BATCH_BYTES = 8 << 20
 
@@ -56,9 +57,9 @@ class ForcedBoundaryBPE:
                 body = token.removesuffix(self.suffix) if self.suffix else token
                 self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.chunk = WITH_SPACES if self.keeps_spaces else BETWEEN_SPACES
-        self.chunks = ChunkCache(self._encode_chunk, apart=True)
-        self.middle = ChunkCache(lambda f: self._merged(list(f)), entries=FRAGMENTS)
-        self.last = ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]), entries=FRAGMENTS)
+        self.chunks = ChunkCache(self._encode_chunk, self._is_plain)
+        self.middle = ChunkCache(lambda f: self._merged(list(f)), room=FRAGMENT_BYTES)
+        self.last = ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]), room=FRAGMENT_BYTES)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -96,10 +97,15 @@ class ForcedBoundaryBPE:
             out.append(self.last[end])
         return b"".join(out)
 
+    def _is_plain(self, chunk: str) -> bool:
+        """Whether the chunk, as the normaliser leaves it, is a word to every pattern."""
+        word = chunk.lower() if self.lower else chunk
+        return is_word(word[1:] if self.keeps_spaces and word[0] == " " else word)
+
     def _words(self, chunk: str) -> list[str]:
         """In the letters that stand for bytes. Plain words need no look at the file's patterns."""
-        word = chunk.lower() if self.lower else chunk
-        if is_word(word[1:] if self.keeps_spaces and word[0] == " " else word):
+        if self._is_plain(chunk):
+            word = chunk.lower() if self.lower else chunk
             return ["".join([self.shown[b] for b in word.encode()])]
         if self.normalizer:
             chunk = self.normalizer.normalize_str(chunk)
@@ -160,9 +166,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     and null ids are rows as any other; an empty table gives no rows; other columns are not carried. Map-side only:
     no shuffle, and a worker holds one input batch, bounded caches and BATCH_BYTES of results.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    small_batches(docs.sparkSession)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    made = StructType([StructField(id_col, rows.schema[0].dataType), *StructType.fromDDL("n_tokens bigint, ids binary, decoded string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer_path)
@@ -175,10 +180,11 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 if size > BATCH_BYTES or at + 1 == batch.num_rows:
                     keys = batch.column(0).slice(start, len(ids))
                     counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                    yield pa.RecordBatch.from_arrays([keys, counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([keys, counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids", "decoded"])
                     ids, decoded, size, start = [], [], 0, at + 1
+        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, made)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

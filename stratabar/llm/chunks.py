@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from sys import getsizeof
 
 #: Unicode White_Space, as the tokenizers' patterns understand \s.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -11,33 +12,37 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 BETWEEN_SPACES = re.compile(rf"[^{WHITE_SPACE}]+")
 #: For byte-level tokenizers that keep it: a chunk is a run with the space before it, or white space before such a run.
 WITH_SPACES = re.compile(rf" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
-#: Chunks a worker remembers in each of two generations. About 100 MB each at the lengths of words.
-CACHE_ENTRIES = 600_000
+#: Bytes of chunks and encodings that a cache remembers in each of two generations, with what Python needs to hold them.
+CACHE_BYTES = 48 << 20
+#: What an entry takes besides its chunk and its encoding.
+ENTRY_BYTES = 80
 #: Longer chunks are not remembered.
 CACHE_CHARS = 64
 
 
 class ChunkCache(dict):
     """chunk -> its encoding. When full, what it holds becomes the old generation, and what is asked for again moves
-    back from there: frequent chunks stay.
+    back from there: frequent chunks stay. Bounded in bytes, so long chunks and wide letters don't take more.
 
-    apart: a chunk of a letter and one closing stop or comma is put together from the two, which tokenizers of this
-    kind never merge.
+    plain: tells whether a chunk is a word to which the tokenizer never joins a stop or comma that follows. The two are
+    then put together from their encodings, and not remembered as a whole.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], apart: bool = False, entries: int = CACHE_ENTRIES):
+    def __init__(self, encode: Callable[[str], bytes], plain: Callable[[str], bool] | None = None, room: int = CACHE_BYTES):
         super().__init__()
-        self.encode, self.apart, self.entries = encode, apart, entries
+        self.encode, self.plain, self.room, self.free = encode, plain, room, room
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.plain is not None and chunk[-1] in ".," and len(chunk) > 1 and self.plain(chunk[:-1]):
+            return self[chunk[:-1]] + self[chunk[-1]]
         out = self.old.get(chunk)
         if out is None:
-            stop = self.apart and len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha()
-            out = self[chunk[:-1]] + self[chunk[-1]] if stop else self.encode(chunk)
+            out = self.encode(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= self.entries:
-                self.old = self.copy()
+            self.free -= getsizeof(chunk) + getsizeof(out) + ENTRY_BYTES
+            if self.free < 0:
+                self.old, self.free = dict(self), self.room
                 self.clear()
             self[chunk] = out
         return out

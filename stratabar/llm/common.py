@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever signs the name holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct: what is added beside it can't clash with them. `name.*` unpacks it."""
+    return F.struct(*map(column, df.columns)).alias(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Only where it is unset (tests on one machine) a
-    temporary folder is made and set."""
+    """The folder the cluster names in spark.checkpoint.dir. Only where it is unset and Spark runs inside one process
+    (tests) a temporary folder is made and set; on a cluster that would be a folder the executors don't see."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratabar-"))
         named = sc.getCheckpointDir()
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there."""
     shared_dir(df.sparkSession)
@@ -47,9 +66,6 @@ def literal_rows(spark: SparkSession, json_rows: str, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json_rows), f"array<struct<{schema}>>")))
 
 
-#: Rows that go to Python at once, at most; Spark's own bound is 10,000 rows or 64 MB.
-BATCH_ROWS = 2000
-
 _held: dict[object, object] = {}
 
 
@@ -61,31 +77,35 @@ def held_by_worker(name: object, make: Callable[[], object]) -> object:
     return _held[name]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Has the session send at most BATCH_ROWS rows to Python at once: texts may be long. Results don't depend on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def released() -> None:
+    """Drops what this worker holds."""
+    _held.clear()
 
 
-def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], added: str, compute: Callable[[list[str]], list[pa.Array]], rows_at_once: int = 256) -> DataFrame:
-    """docs' columns named in keep, and those that compute makes of the texts (null: empty), declared in `added`.
+def map_texts(docs: DataFrame, text_col: str, keep: Sequence[Column], added: str, compute: Callable[[list[str]], list[pa.Array]], rows_at_once: int = 256) -> DataFrame:
+    """The columns `keep`, as they are named, and those that compute makes of the texts (null: empty), declared in
+    `added`. Names must differ: callers keep an id and, as one struct, whatever else a table has.
 
-    Columns go to Python under names of their own, so no name of the table can clash with another. compute gets at
-    most rows_at_once texts, and that many rows go back at a time.
+    compute gets at most rows_at_once texts, and that many rows go back at a time.
     """
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep, 1)])
-    new = [f.name for f in StructType.fromDDL(added)]
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]]
-    made = [f"a{i} {f.dataType.simpleString()}" for i, f in enumerate(StructType.fromDDL(added))]
-    small_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(column(text_col).cast("string"), F.lit("")), *keep)
+    names = [f.name for f in rows.schema[1:]]
+    made = StructType.fromDDL(added)
+    if len({n.lower() for n in [*names, *made.names]}) < len(names) + len(made):
+        raise ValueError(f"columns of one name among {', '.join([*names, *made.names])}")
+    out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate([*rows.schema[1:], *made])])
+    labels = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 some = batch.slice(at, rows_at_once)
-                arrays = compute(some.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], *arrays], [*some.schema.names[1:], *[f"a{i}" for i in range(len(arrays))]])
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], *compute(some.column(0).to_pylist())], labels)
         pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, ", ".join(kept + made)).toDF(*keep, *new)
+    return rows.toDF(*[f"t{i}" for i in range(len(rows.columns))]).mapInArrow(run, out).toDF(*names, *made.names)
+
+
+def kept_columns(docs: DataFrame, id_col: str, carry: bool) -> list[Column]:
+    """The id, and with carry the whole row as the struct `row`."""
+    return [column(id_col).alias(id_col), *([whole_row(docs)] if carry else [])]

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from stratabar.llm.chunks import WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
-from stratabar.llm.common import held_by_worker, shared_dir, small_batches, table
+from stratabar.llm.common import column, held_by_worker, released, shared_dir, table
 
 SEQUENCE = 2048
 #: Sequences of a record batch.
@@ -47,12 +47,15 @@ class LibraryEncoder:
         self.byte_level = self.tok.normalizer is None and [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str("a b")] == ["a", self.shown[32] + "b"]
         self.typecode = "H" if self.dtype == "<u2" else "I"
         self.specials = special_pattern([t.content for t in self.tok.get_added_tokens_decoder().values()])
-        self.chunks = ChunkCache(self._ids, apart=True)
+        self.chunks = ChunkCache(self._ids, self._is_plain)
+
+    def _is_plain(self, chunk: str) -> bool:
+        return self.byte_level and is_word(chunk[1:] if chunk[0] == " " else chunk)
 
     def _ids(self, chunk: str) -> bytes:
         """Plain words go to the library's model at once, other chunks through its patterns first."""
-        if self.byte_level and is_word(chunk[1:] if chunk[0] == " " else chunk):
-            return array(self.typecode, [t.id for t in self.model.tokenize("".join([self.shown[b] for b in chunk.encode()]))]).tobytes()
+        if self._is_plain(chunk):
+            return array(self.typecode, [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.shown))]).tobytes()
         return array(self.typecode, self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -139,10 +142,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, length:
     texts are empty (one END_ID). Other columns are not carried. An empty table gives no parts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +159,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, length:
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+        pa.default_memory_pool().release_unused()
 
     ordered.mapInArrow(run, "part bigint, n_docs bigint, n_tokens bigint").write.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
@@ -165,9 +168,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, length:
 
 def read_token_files(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
     """From the files alone: id, start (ids of all documents before), n_tokens, ids (binary, little-endian unsigned
-    32-bit). A task reads one part as a stream."""
+    32-bit). A task reads one part as a stream.
+
+    id_type must be the type of the ids that were written; the files keep it, and other types of ids (strings, dates)
+    are written as they are. A manifest without parts gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()  # the writing stage's encoder
         for batch in batches:
             for row in batch.to_pylist():
                 yield from read_part(folder, row["part"], row["base"])

@@ -1,12 +1,15 @@
 import hashlib
 import random
+import unicodedata
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from stratabar.llm.bpe import ForcedBoundaryBPE, digests, round_trip
+from stratabar.llm.bpe import ForcedBoundaryBPE, digests, op2_bpe, round_trip
+from stratabar.llm.chunks import ChunkCache
 
 PATHS = {n: public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k")}
 ODD = [
@@ -31,14 +34,29 @@ def test_same_as_the_library(name):
         assert bpe.decode(got) == library.decode(want, skip_special_tokens=False), repr(text)
 
 
+#: Assigned code points, but for scripts whose thousands of letters are alike; all up to U+10FFFF were tried once.
+LETTERS = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs") and (c < 0x3400 or c % 97 == 0 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x12000 or 0x1D000 <= c < 0x20000)]
+
+
 @pytest.mark.parametrize("name", PATHS)
-def test_every_letter_of_many_scripts(name):
+def test_letters_of_all_scripts_alone_inside_words_and_before_stops(name):
     bpe, library = ForcedBoundaryBPE(PATHS[name]), Tokenizer.from_file(PATHS[name])
-    texts = [f"a{chr(c)}B {chr(c)} {chr(c)}{chr(c)}x" for c in [*range(0x3100), 0xFEFF, 0xFF21, 0xFB01, 0x1F600] if not 0xD800 <= c < 0xE000]
+    texts = ["  ".join(f"{c} a{c}B {c}. x{c}, {c}{c}x" for c in LETTERS[k : k + 16]) for k in range(0, len(LETTERS), 16)]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == want.ids, repr(text)
 
 
+def test_caches_are_bounded_in_bytes():
+    made = []
+    cache = ChunkCache(lambda c: made.append(c) or c.encode(), room=20_000)
+    words = [f"{'ж' * 20}{i}" for i in range(2000)]
+    for w in words + words:
+        assert cache[w] == w.encode()
+    held = sum(map(getsizeof, [*cache, *cache.values(), *cache.old, *cache.old.values()]))
+    assert held < 40_000 and len(made) == 4000
+    assert cache["x" * 100] == b"x" * 100 and "x" * 100 not in cache  # long chunks are not remembered
+
+
 def test_cuts_are_pairs_inside_no_token():
     bpe = ForcedBoundaryBPE(PATHS["word_bpe_49k"])
     rng, cut = random.Random(5), 0
@@ -71,3 +89,16 @@ def test_round_trip_of_a_table(spark):
         want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
     assert round_trip(docs.limit(0), PATHS["word_bpe_49k"]).count() == 0
+
+
+def test_query(spark):
+    got = op2_bpe(spark, "/root/testdata/sf0.001")
+    library = Tokenizer.from_file(PATHS["word_bpe_49k"])
+    assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()

@@ -4,8 +4,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from stratabar.llm.token_files import LibraryEncoder, TokenFile, file_system, read_token_files, write_token_files
-from tests.llm.test_bpe import ODD
+from stratabar.llm.token_files import LibraryEncoder, TokenFile, file_system, op3_token_files, read_token_files, write_token_files
+from tests.llm.test_bpe import LETTERS, ODD
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,13 +16,36 @@ def test_encoder_is_the_library():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_every_letter_of_many_scripts():
+def test_letters_of_all_scripts():
     enc, library = LibraryEncoder(PATH), Tokenizer.from_file(PATH)
-    texts = [f"a{chr(c)}B {chr(c)} {chr(c)}{chr(c)}x" for c in range(0x3100)]
+    texts = [" ".join(f"{c} a{c}B {c}. x{c}, {c}{c}x" for c in LETTERS[k : k + 16]) for k in range(0, len(LETTERS), 16)]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want.ids, repr(text)
 
 
+def test_very_long_text_and_other_ids(spark, tmp_path):
+    texts = {"a": "A very long text, of words. " * 60_000, "b": None, "c": "x" * 100_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    manifest = write_token_files(docs, f"{tmp_path}/t", PATH)
+    library = Tokenizer.from_file(PATH)
+    for r in read_token_files(manifest, f"{tmp_path}/t", "string").collect():
+        want = [*library.encode(texts[r["id"]] or "", add_special_tokens=False).ids, 0]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want
+
+
+def test_query(spark):
+    rows = op3_token_files(spark, "/root/testdata/sf0.001")
+    assert rows.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    library, start = Tokenizer.from_file(PATH), 0
+    rows = sorted(map(tuple, rows.collect()))
+    assert [r[0] for r in rows] == sorted(texts)
+    for doc_id, at, n, crc in rows:
+        ids = [*library.encode(texts[doc_id], add_special_tokens=False).ids, 0]
+        assert (at, n, crc) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += n
+
+
 def test_written_and_read(spark, tmp_path):
     texts = [None, "", "Hello world!", "same", "same", "long text " * 900]
     rows = [(i * 7 % 11, t, 0) for i, t in enumerate(texts)] + [(None, "no id", 0), (3, "another", 0)]
