@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import fold, held_out, map_texts, table
+from stratabar.llm.common import checkpointed, column, fold, held_out, kept_columns, map_texts, table
 
 DIMENSIONS = 1024
 SEED = 7
@@ -19,8 +20,10 @@ SEED = 7
 SYMBOLS = 64
 #: Documents of each language that a profile is learned from, about.
 LEARN_PER_LANGUAGE = 2000
-#: Languages with a profile, the most frequent first.
-MAX_LANGUAGES = 500
+#: Languages that profiles can be held for: their vectors are 40 MB. A table with more is refused, not cut.
+MAX_LANGUAGES = 10_000
+#: A document's vector is summed in whole steps of this, so that sums don't depend on their order.
+STEP = 2.0**-24
 #: Trigrams that are bundled at once.
 TRIGRAMS_AT_ONCE = 60_000
 UNKNOWN = "und"
@@ -102,39 +105,52 @@ class Profiles:
 
 
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = LEARN_PER_LANGUAGE) -> Profiles:
-    """From about per_language documents of each language outside the held-out third, chosen by a hash of the id.
-    Rows without language, id or letters teach nothing. Every document counts with length 1."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    """From about per_language documents of each language outside the held-out third, chosen by a hash of the id. Rows
+    without language, id or letters teach nothing. Every document counts with length 1. Every language of the rows gets
+    a profile; more than MAX_LANGUAGES of them are an error."""
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("id") != 1))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    sizes = checkpointed(rows.groupBy("lang").count())
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     chance = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / float(1 << 30)
     rates = F.broadcast(sizes.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("rate")))
     sample = rows.join(rates, "lang").filter(chance < F.col("rate")).select("text", "lang")
 
-    def compute(texts: list[str]) -> list[pa.Array]:
-        return [pa.array(list(bundles(texts)), pa.list_(pa.float32()))]
-
-    vectors = map_texts(sample, "text", ["lang"], "vector array<float>", compute)
-    parts = vectors.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum(F.round("x", 6).cast("decimal(18,6)")).cast("double").alias("x"))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One vector for each language of a task."""
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                vectors = np.rint(bundles(some.column(0).to_pylist()).astype(float) / STEP).astype(np.int64)
+                languages = some.column(1).to_pylist()
+                for lang in set(languages):
+                    total[lang] = total.get(lang, 0) + vectors[[x == lang for x in languages]].sum(axis=0)
+        for lang, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v], pa.list_(pa.int64()))], ["lang", "v"])
+
+    parts = sample.mapInArrow(sums, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()  # MAX_LANGUAGES vectors at most
-    vectors = np.array([[e["x"] for e in r["v"]] for r in found], np.float32).reshape(len(found), DIMENSIONS)
+    vectors = np.array([[e["x"] * STEP for e in r["v"]] for r in found], np.float32).reshape(len(found), DIMENSIONS)
     size = np.linalg.norm(vectors, axis=1)
     own = size > 0
     return Profiles([r["lang"] for r, k in zip(found, own, strict=True) if k], vectors[own] / size[own][:, None])
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id_col, the columns named in keep, lang_pred, score (cosine, 0 to 1).
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: id_col, with carry the whole row as the struct `row`, lang_pred, score (cosine, 0 to 1).
 
     Whole texts are read. Null texts and texts without letters: `und`, score 0. Repeated rows and null ids are rows as
-    any other; an empty table gives no rows; without profiles every text is `und`. Map-side only.
+    any other; an empty table gives no rows; without profiles every text is `und`; columns of any name are left alone.
+    Map-side only.
     """
 
     def compute(texts: list[str]) -> list[pa.Array]:
         languages, scores = profiles.predict(texts)
         return [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
 
-    return map_texts(docs, text_col, list(dict.fromkeys([id_col, *keep])), "lang_pred string, score double", compute)
+    return map_texts(docs, text_col, kept_columns(docs, id_col, carry), "lang_pred string, score double", compute)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stratabar.llm.common import map_texts, table
+from stratabar.llm.common import checkpointed, held_by_worker, kept_columns, map_texts, table
 from stratabar.llm.samples import label_share, labelled_sample
 
 #: Features are hashed to 2^BITS weights.
@@ -24,12 +25,14 @@ WINDOW = 5
 #: Labelled rows of each class for fitting, at most; one in CALIBRATE of them is kept for the calibration.
 FIT_PER_CLASS = 1000
 CALIBRATE = 4
+#: Bytes of their features, at most: the rows of a class are taken in order of a hash until they reach half of it.
+FIT_BYTES = 64 << 20
 STEPS, RATE, L2 = 200, 0.05, 1e-5
 #: A document is kept from this probability of good quality on.
 THRESHOLD = 0.35
 SYMBOLS = b"#*$%&|<>"
-#: Words a worker remembers.
-CACHE_WORDS = 400_000
+#: Words a worker remembers, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 300_000, 8_000_000
 
 _SPACE = 32
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -75,13 +78,13 @@ class WordTable:
     """word -> a number, and arrays by that number: its hash and, given weights, the sum of its features' weights."""
 
     def __init__(self, weights: np.ndarray | None = None):
-        self.weights, self.numbers = weights, {}
+        self.weights, self.numbers, self.bytes = weights, {}, 0
         self.hashes, self.scores = np.zeros(1024, np.uint64), np.zeros(1024)
 
     def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         new = set().union(*texts).difference(self.numbers) if texts else set()
-        if len(self.numbers) + len(new) > CACHE_WORDS:
-            self.numbers, new = {}, set().union(*texts)
+        if len(self.numbers) + len(new) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.numbers, self.bytes, new = {}, 0, set().union(*texts)
         if new:
             self._add(list(new))
         get = self.numbers.__getitem__
@@ -89,6 +92,7 @@ class WordTable:
 
     def _add(self, words: list[bytes]) -> None:
         first, last = len(self.numbers), len(self.numbers) + len(words)
+        self.bytes += sum(map(len, words))
         if last > len(self.hashes):
             room = max(last, 2 * len(self.hashes))
             self.hashes, self.scores = (np.concatenate([a, np.zeros(room - len(a), a.dtype)]) for a in (self.hashes, self.scores))
@@ -171,13 +175,17 @@ def training_rows(sample: DataFrame) -> DataFrame:
             rows.append((len(own), found.astype("<i4").tobytes(), np.bincount(at, amount, len(found)).astype("<f4").tobytes() if own else b""))
         return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
 
-    return map_texts(sample, "text", ["id", "y"], "n_words bigint, slots binary, counts binary", compute, rows_at_once=64)
+    return map_texts(sample, "text", [F.col("id"), F.col("y")], "n_words bigint, slots binary, counts binary", compute, rows_at_once=64)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_PER_CLASS) -> QualityModel:
-    """From at most per_class labelled rows of each class outside the held-out third. Without both classes: a model
-    that finds every text good."""
-    rows = training_rows(labelled_sample(docs, labels, label, per_class)).orderBy(F.xxhash64("id"), "id").collect()  # 2 x per_class rows at most
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_PER_CLASS, most_bytes: int = FIT_BYTES) -> QualityModel:
+    """From at most per_class labelled rows of each class outside the held-out third, with at most most_bytes of features,
+    which is what the driver gets. Without both classes: a model that finds every text good."""
+    order = [F.xxhash64("id"), F.col("id")]
+    made = checkpointed(training_rows(labelled_sample(docs, labels, label, per_class)).withColumn("bytes", F.octet_length("slots") + F.octet_length("counts")))
+    upto = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # per_class numbers at most
+    fits = made.select("id", "y", "bytes").withColumn("sum", F.sum("bytes").over(upto)).filter(F.col("sum") <= most_bytes // 2).select("id")
+    rows = made.join(F.broadcast(fits), "id").orderBy(*order).collect()
     y = np.array([r["y"] for r in rows], float)
     share = label_share(labels, label)
     if len(set(y)) < 2:
@@ -235,23 +243,23 @@ def _platt(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     return a / scale, b
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id_col, the columns named in keep, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words and probability (of good quality).
+def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: id_col, with carry the whole row as the struct `row`, n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words and probability (of good quality).
 
     Words are runs of anything but ASCII white space. Whole texts are read; null and empty texts have no words and
-    the probability of the bias alone. Repeated rows and null ids are rows as any other. Map-side only.
+    the probability of the bias alone. Repeated rows and null ids are rows as any other; an empty table gives no rows;
+    columns of any name are left alone. Map-side only.
     """
-    words: dict[str, WordTable] = {}
+    name = ("quality", xxhash.xxh64_intdigest(model.weights.tobytes()))
 
     def compute(texts: list[str]) -> list[pa.Array]:
-        known = words.setdefault("words", WordTable(model.weights))
-        rows = list(_measures(texts, known))
+        rows = list(_measures(texts, held_by_worker(name, lambda: WordTable(model.weights))))
         ints = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
         return [*ints, pa.array([model.probability(r[5], r[0]) for r in rows], pa.float64())]
 
     added = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, probability double"
-    return map_texts(docs, text_col, list(dict.fromkeys([id_col, *keep])), added, compute)
+    return map_texts(docs, text_col, kept_columns(docs, id_col, carry), added, compute)
 
 
 def base_failed() -> Column:
@@ -259,6 +267,7 @@ def base_failed() -> Column:
 
 
 def with_verdict(scored: DataFrame) -> DataFrame:
+    """The result of score_quality with base_failed and kept."""
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= THRESHOLD))
 
 

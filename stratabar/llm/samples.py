@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import checkpointed, fold, map_texts
+from stratabar.llm.common import checkpointed, column, fold, map_texts
 
 #: Minima of hashed three-word shingles by which a sample knows near copies.
 KEYS = 3
@@ -31,9 +31,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     first = [F.xxhash64("id"), F.col("id")]
     ids = own.filter("y = 0").orderBy(*first).limit(per_class).unionByName(own.filter("y = 1").orderBy(*first).limit(per_class))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     own = checkpointed(texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
-    keyed = map_texts(own, "text", ["id", "y", "text"], ", ".join(f"k{i} bigint" for i in range(KEYS)), _keys)
+    keyed = map_texts(own, "text", [F.col("id"), F.col("y"), F.col("text")], ", ".join(f"k{i} bigint" for i in range(KEYS)), _keys)
     for i in range(KEYS):
         keyed = keyed.groupBy(f"k{i}").agg(F.min(F.struct("id", "y", "text", *[f"k{j}" for j in range(KEYS) if j != i])).alias("one")).select("one.*", f"k{i}")
     return checkpointed(keyed.select("id", "text", "y"))

@@ -55,23 +55,28 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(16)).astype(np.uint32).view(np.int32)
 
 
-def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """The sizes of all intersections of a bounded list of sets."""
-    n = len(sets)
-    out = np.zeros((n, n), np.float32)
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    shared = count >= 2
-    number = np.cumsum(shared) - 1
-    keep = shared[at]
-    owner, at = owner[keep], number[at[keep]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    for first in range(0, int(shared.sum()), columns):
-        lo, hi = np.searchsorted(at, [first, first + columns])
-        m = np.zeros((n, columns), np.float32)
-        m[owner[lo:hi], at[lo:hi] - first] = 1
-        out += m @ m.T
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """The sizes of the intersections of each set of one bounded list with each of another."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = (np.concatenate([np.empty(0, np.uint64), *sets]) for sets in (left, right))
+    shared = np.intersect1d(a, b)
+    if not len(shared):
+        return out
+    places = []
+    for flat, sets in ((a, left), (b, right)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        own = shared[at] == flat
+        order = np.argsort(at[own], kind="stable")
+        places.append((at[own][order], owner[own][order]))
+    for first in range(0, len(shared), columns):
+        m = []
+        for (at, owner), sets in zip(places, (left, right), strict=True):
+            lo, hi = np.searchsorted(at, [first, first + columns])
+            x = np.zeros((len(sets), min(columns, len(shared) - first)), np.float32)
+            x[owner[lo:hi], at[lo:hi] - first] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
     return out
 
 

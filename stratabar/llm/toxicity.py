@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import held_out, map_texts, table
+from stratabar.llm.common import held_out, kept_columns, map_texts, table
 from stratabar.llm.samples import label_share, labelled_sample
 
 #: Labelled rows of each class that the lexicon and its calibration are fitted on, at most.
@@ -30,28 +31,30 @@ LEAST_G2 = 20.0
 #: Least weight (natural log of the odds ratio).
 LEAST_WEIGHT = 2.0
 THRESHOLD = 0.7
-#: Phrases in which an entry isn't abuse.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "idiot proof", "idiot light", "clown fish", "sore loser board", "pathetic fallacy", "scum skimmer")
+#: Documents of label 0 that a phrase around an entry needs to be an exception, and how rare it must be in label 1 beside
+#: them (natural log of the odds ratio).
+LEAST_EXCEPTION, EXCEPTION_WEIGHT = 3, -1.0
 
 #: Letters that look like Latin letters, each before the letter it is taken for.
 _LOOKALIKES = "аa еe іi јj оo кk рp сc уy хx ѕs һh ԁd ԛq ԝw мm нh тt вb αa βb εe ιi κk οo ρp τt υu χx ωw ηn ɑa ɡg ıi ßs øo łl đd"
 HOMOGLYPHS = str.maketrans({pair[0]: pair[1] for pair in _LOOKALIKES.split()})
 #: Digits and signs written for letters.
 DIGITS = str.maketrans("0134578@$!", "oieastbasi")
-_MIXED = re.compile(r"[a-z][0134578@$!]+[a-z]|(?<![\w@$!])[0134578@$!][a-z]{2}")
+_MIXED = re.compile(r"[a-z][0134578@$!]+[a-z]|(?<![\w@$!])[0134578@$!][a-z]{2}|[a-z]{3}[0134578@$](?![\w@$])")
 _SPELLED = re.compile(r"(?<![\w@$!])[a-z0134578@$!]*[a-z][a-z0134578@$!]*")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def fold_text(text: str) -> str:
-    """Lower case, marks off, look-alike letters and digits inside words as the Latin letters they stand for."""
+def fold_text(text: str, one: str = "i") -> str:
+    """Lower case, marks off, look-alike letters and digits inside words as the Latin letters they stand for; 1 as
+    `one`, for it stands for i or l. Either reading has the same length."""
     try:
         raw = text.encode("latin-1").translate(_LATIN1)
         mixed, text = len(raw) != len(raw.translate(None, b"0134578@$!")), raw.decode("latin-1")
     except UnicodeEncodeError:
         mixed, text = True, _bare(text)
     if mixed and _MIXED.search(text):
-        text = _SPELLED.sub(_unspell, text)
+        text = _SPELLED.sub(_unspell if one == "i" else _unspell_l, text)
     return text
 
 
@@ -64,10 +67,18 @@ def _bare(text: str) -> str:
 _LATIN1 = bytes(ord(x) if len(x := _bare(chr(c))) == 1 and ord(x) < 256 else c for c in range(256))
 
 
-def _unspell(m: re.Match) -> str:
+def _unspell(m: re.Match, digits: dict[int, int] = DIGITS) -> str:
+    """Signs at the end stay; so do digits there, unless one stands for the last letter of a longer word."""
     word = m[0]
-    core = word.rstrip("0134578@$!")
-    return core.translate(DIGITS) + word[len(core) :]
+    core = word.rstrip("!")
+    bare = core.rstrip("0134578@$")
+    if len(core) - len(bare) != 1 or len(bare) < 3:
+        core = bare
+    return core.translate(digits) + word[len(core) :]
+
+
+def _unspell_l(m: re.Match) -> str:
+    return _unspell(m, DIGITS | {ord("1"): ord("l")})
 
 
 @dataclass
@@ -76,7 +87,7 @@ class Lexicon:
 
     words: dict[str, float]
     stems: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     coefficients: tuple[float, float, float] = (-3.0, 1.0, 1.0)
 
     @cached_property
@@ -94,10 +105,31 @@ class Lexicon:
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
     def hits(self, text: str) -> list[tuple[int, str, float]]:
-        """(start, entry, weight) in the folded text; one hit at each start, none inside an exception phrase."""
+        """(start, entry, weight) in the folded text; one hit at each start, none inside an exception phrase. Linear in
+        the length of the text but for the sort of its hits."""
         if not (self.words or self.stems):
             return []
-        text, found, void = fold_text(text), {}, []
+        found: dict[int, tuple[str, float]] = {}
+        void: list[tuple[int, int]] = []
+        folded = fold_text(text)
+        self._scan(folded, found, void)
+        if "1" in text and (other := fold_text(text, "l")) != folded:
+            self._scan(other, found, void)
+        starts, ends = [], []
+        for a, b in sorted(void):
+            if starts and a <= ends[-1]:
+                ends[-1] = max(b, ends[-1])
+            else:
+                starts.append(a)
+                ends.append(b)
+
+        def free(at: int) -> bool:
+            k = bisect_right(starts, at) - 1
+            return k < 0 or ends[k] < at
+
+        return [(s, *found[s]) for s in sorted(found) if free(s)]
+
+    def _scan(self, text: str, found: dict[int, tuple[str, float]], void: list[tuple[int, int]]) -> None:
         for end, (kind, entry, weight) in self.automaton.iter(text):
             start = end + 1 - len(entry)
             if start and text[start - 1].isalpha():
@@ -108,7 +140,6 @@ class Lexicon:
                 void.append((start, end))
             elif start not in found or weight > found[start][1]:
                 found[start] = (entry, weight)
-        return [(s, *found[s]) for s in sorted(found) if not any(a <= s <= b for a, b in void)]
 
     def features(self, text: str) -> tuple[float, float, list[str]]:
         """log(1 + sum of weights), weights per 100 letters-of-a-word units of length, distinct entries hit."""
@@ -171,6 +202,32 @@ def _choose(terms: Iterable[tuple[str, int, int, float]]) -> tuple[dict[str, flo
     return {t: kept[t] for t in best if not t.endswith("*")}, {t[:-1]: kept[t] for t in best if t.endswith("*")}
 
 
+def learn_exceptions(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
+    """Adds the phrases of an entry and the word beside it that documents of label 0 have, and those of label 1 hardly:
+    there the entry isn't abuse."""
+    classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folded = fold_text(text)
+                words = [(m.start(), m.end()) for m in _WORDS.finditer(folded)]
+                place = {a: k for k, (a, _) in enumerate(words)}
+                own = set()
+                for start, *_ in lexicon.hits(text):
+                    k = place.get(start)
+                    for i, j in ((k - 1, k), (k, k + 1)) if k is not None else ():
+                        if 0 <= i and j < len(words) and words[j][0] - words[i][1] == 1:
+                            own.add(folded[words[i][0] : words[j][1]])
+                if own:
+                    yield pa.RecordBatch.from_pydict({"phrase": sorted(own), "pos": [y] * len(own), "neg": [1 - y] * len(own)}, pa.schema([("phrase", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]))
+
+    counted = sample.select("text", "y").mapInArrow(phrases, "phrase string, pos bigint, neg bigint").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    weight = F.log((F.col("pos") + 0.5) / (classes.get(1, 0) + 1)) - F.log((F.col("neg") + 0.5) / (classes.get(0, 0) + 1))
+    rows = counted.filter((F.col("neg") >= LEAST_EXCEPTION) & (weight <= EXCEPTION_WEIGHT)).orderBy(F.desc("neg"), "phrase").limit(MAX_ENTRIES).collect()
+    return Lexicon(lexicon.words, lexicon.stems, (*lexicon.exceptions, *[r["phrase"] for r in rows if r["phrase"] not in lexicon.exceptions]), lexicon.coefficients)
+
+
 def calibrate(lexicon: Lexicon, sample: DataFrame, prior: float) -> Lexicon:
     """Fits probability = logistic(a + b x + c log(1 + d)) on the sample, weighed so that label 1 has its share `prior`."""
 
@@ -196,25 +253,28 @@ def calibrate(lexicon: Lexicon, sample: DataFrame, prior: float) -> Lexicon:
     return lexicon
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = FIT_PER_CLASS) -> Lexicon:
-    """The lexicon and calibration from labelled rows outside the held-out third."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = FIT_PER_CLASS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """The lexicon, its exception phrases (those given and those learned) and its calibration, from labelled rows outside
+    the held-out third."""
     sample = labelled_sample(docs, labels, label, per_class)
     lexicon = learn_lexicon(sample)
+    lexicon = learn_exceptions(Lexicon(lexicon.words, lexicon.stems, tuple(exceptions), lexicon.coefficients), sample)
     return calibrate(lexicon, sample, min(0.9, max(0.01, label_share(labels, label) or 0.01)))
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id_col, the columns named in keep, score (0 to 1), terms (lexicon entries found).
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: id_col, with carry the whole row as the struct `row`, score (0 to 1), terms (lexicon
+    entries found).
 
     Whole texts are matched. Null and empty texts have no hits and get the score of such. Repeated rows and null ids
-    are rows as any other; an empty table gives no rows. Map-side only.
+    are rows as any other; an empty table gives no rows; columns of any name are left alone. Map-side only.
     """
 
     def compute(texts: list[str]) -> list[pa.Array]:
         got = [lexicon.score(t) for t in texts]
         return [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.string()))]
 
-    return map_texts(docs, text_col, list(dict.fromkeys([id_col, *keep])), "score double, terms array<string>", compute)
+    return map_texts(docs, text_col, kept_columns(docs, id_col, carry), "score double, terms array<string>", compute)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratabar.llm import jaccard_join
 from stratabar.llm.components import components
-from stratabar.llm.jaccard_join import jaccard_classes, one_of_each, plan_runs
+from stratabar.llm.jaccard_join import jaccard_classes, one_of_each, op6_jaccard_join, plan_runs
 from stratabar.llm.shingles import intersections, minima, shingle_set
 
 
@@ -62,12 +63,16 @@ def check(spark, rows):
 
 
 def test_given_documents(spark):
-    check(spark, [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    check(spark, rows)
+    query = op6_jaccard_join(spark, "/root/testdata/sf0.01")
+    assert query.columns == ["doc_id", "class_id", "n_links"] and {r[0]: tuple(r[1:]) for r in query.collect()} == brute(rows)
 
 
 def test_large_group_in_blocks(spark, monkeypatch):
     """A group of near copies that no split makes small, a passage in many documents, many exact copies."""
     monkeypatch.setattr(jaccard_join, "BUCKET", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 40)
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(55))
     texts = near_copies(120, 1) + near_copies(30, 2, edits=1) + ["copy of one text that is here very often indeed"] * 40
@@ -96,7 +101,7 @@ def test_plan_of_runs():
     assert deeper > depth and more > runs and (1 - 0.8**deeper) ** more <= 1 - jaccard_join.TARGET_RECALL
 
 
-@pytest.mark.parametrize("n_sets", [15 * 10**6, 10**8])
+@pytest.mark.parametrize("n_sets", [10**6, 15 * 10**6, 10**8])
 def test_recall_of_the_runs(spark, monkeypatch, n_sets):
     """Pairs of sketches that agree at SIMILARITY meet in some leaf of the runs as often as the plan says."""
     monkeypatch.setattr(jaccard_join, "BUCKET", 0)  # split all the way
@@ -106,12 +111,48 @@ def test_recall_of_the_runs(spark, monkeypatch, n_sets):
     one, two = rng.integers(0, 1 << 31, (2, n, size))
     two = np.where(rng.random((n, size)) < jaccard_join.SIMILARITY, one, two)
     rows = [(k, s.tolist()) for pair in (one, two) for k, s in enumerate(pair)]
-    nodes = spark.createDataFrame([(f"{i}", k, s) for i, (k, s) in enumerate(rows)], "key string, pair int, sketch array<int>")
+    nodes = spark.createDataFrame([(f"{i}", k, 100, s) for i, (k, s) in enumerate(rows)], "key string, pair int, size int, sketch array<int>")
     met = jaccard_join._leaves(nodes, depth, runs).join(nodes.select("key", "pair"), "key")
     share = met.groupBy("leaf", "pair").count().filter("count = 2").select("pair").distinct().count() / n
     assert share >= 0.9975
 
 
+def test_recall_at_ten_billion_sets():
+    """The same by the functions that each run takes, for plans too large to try on tables."""
+    depth, runs = plan_runs(10**10)
+    agree = np.random.default_rng(3).random((20_000, jaccard_join.functions(10**10))) < jaccard_join.SIMILARITY
+    met = np.zeros(len(agree), bool)
+    for r in range(runs):
+        met |= agree[:, r * depth : (r + 1) * depth].all(axis=1)
+    assert met.mean() >= 0.998
+
+
+def test_near_copies_are_sent_to_few_tasks(spark):
+    """Rows that the buckets get grow as the near copies do, not with their square."""
+    rows = []
+    for n in (1000, 4000, 20_000):
+        base = np.random.default_rng(1).integers(0, 1 << 31, jaccard_join.FUNCTIONS).tolist()
+        nodes = spark.range(n).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("copies"), F.lit(300).alias("size"), F.array(*map(F.lit, base)).alias("sketch"))
+        depth, runs = plan_runs(n)
+        rows.append(jaccard_join._groups(jaccard_join._leaves(nodes, depth, runs), nodes, runs).count())
+        blocks = max(-(-n // jaccard_join.BLOCK_SETS), 3)  # of 4 tasks
+        assert rows[-1] == n * runs * blocks
+    assert rows[2] == 20 * rows[0]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(9,2)", "date"])
+def test_ids_of_any_type(spark, kind):
+    made = "date_add(date'2024-01-01', k)" if kind == "date" else f"CAST(k AS {kind})"
+    texts = near_copies(6, 9, edits=1) + ["another text of which there is one"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "k int, text string").selectExpr(f"{made} AS doc_id", "text", "1 AS row", "2 AS key", "3 AS rep", "4 AS keeps", "5 AS id")
+    got = {str(r["doc_id"]): str(r["class_id"]) for r in jaccard_classes(docs).collect()}
+    ids = [str(r["doc_id"]) for r in docs.collect()]
+    want = brute(list(enumerate(texts)))
+    assert all(got[ids[k]] == ids[want[k][0]] for k in want) and got["None"] == got[ids[0]]
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len({c for c, _ in want.values()})
+
+
 def test_no_two_runs_share_a_function():
     for n_sets in (0, 10**6, 2 * 10**7, 10**8, 10**9, 10**10):
         depth, runs = plan_runs(n_sets)
@@ -122,7 +163,7 @@ def test_no_two_runs_share_a_function():
 
 def test_shingles():
     a, b = "a b c d e f g h", "a b c d e f x h"
-    assert len(shingle_set(a)) == 4 and intersections([shingle_set(a), shingle_set(b)])[0, 1] == len(plain_shingles(a) & plain_shingles(b))
+    assert len(shingle_set(a)) == 4 and intersections([shingle_set(a)], [shingle_set(b)])[0, 0] == len(plain_shingles(a) & plain_shingles(b))
     assert np.array_equal(shingle_set("a b"), shingle_set("a   b\n")) and not len(shingle_set(None))
     m = jaccard_join.multipliers()
     x, y = (shingle_set(t) for t in near_copies(2, 3, 400, 6))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -53,28 +54,47 @@ def test_folding_of_letters():
     f = toxicity.fold_text
     assert f("ÉCLAIR Straße") == "eclair strase" and f("1d10t st\u0443pid m0r0n") == "idiot stypid moron" and f("$tupid tr@sh!!") == "stupid trash!!"
     assert f("idі\u043ft") != "" and f("ｉｄｉｏｔ") == "idiot" and f("a b2 300 $$$ 50%") == "a b2 300 $$$ 50%"
+    assert f("idio7 asshol3 1oser room 101 mp3") == "idiot asshole ioser room 101 mp3" and f("1oser", "l") == "loser"
 
 
 def brute_hits(lexicon, text):
-    text = toxicity.fold_text(text)
-    void = [(m.start(), m.end()) for e in lexicon.exceptions for m in re.finditer(r"(?<![^\W\d_])" + re.escape(toxicity.fold_text(e)) + r"(?![^\W\d_])", text)]
+    readings = [toxicity.fold_text(text), toxicity.fold_text(text, "l")]
+    void = [(m.start(), m.end()) for t in readings for e in lexicon.exceptions for m in re.finditer(r"(?<![^\W\d_])" + re.escape(toxicity.fold_text(e)) + r"(?![^\W\d_])", t)]
     out = {}
-    for kind, entries in (("w", lexicon.words), ("s", lexicon.stems)):
-        for e, w in entries.items():
-            for m in re.finditer(r"(?<![^\W\d_])" + re.escape(e) + (r"(?![^\W\d_])" if kind == "w" else ""), text):
-                if not any(a <= m.start() < b for a, b in void) and w > out.get(m.start(), ("", 0))[1]:
-                    out[m.start()] = (e, w)
+    for t in readings:
+        for kind, entries in (("w", lexicon.words), ("s", lexicon.stems)):
+            for e, w in entries.items():
+                for m in re.finditer(r"(?<![^\W\d_])" + re.escape(e) + (r"(?![^\W\d_])" if kind == "w" else ""), t):
+                    if not any(a <= m.start() < b for a, b in void) and w > out.get(m.start(), ("", 0))[1]:
+                        out[m.start()] = (e, w)
     return [(k, *out[k]) for k in sorted(out)]
 
 
 def test_hits_against_brute_force(tables):
-    lexicon = toxicity.Lexicon({"idiot": 5.0, "trash": 4.0, "scum": 3.0}, {"mor": 2.0, "lowe": 6.0})
-    texts = ["You idiot, 1D10T! idiots. idiot", "trash can trash trashy", "moron mor amor loweß", "", "scum_scum scum-scum", "SCUM" * 3, "idiot proof idiot-proof"]
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "trash": 4.0, "scum": 3.0, "loser": 2.5}, {"mor": 2.0, "lowe": 6.0}, ("trash can", "idiot proof"))
+    texts = ["You idiot, 1D10T! idiots. idiot", "trash can trash trashy", "1diot 1oser scum1 trasn tr4sh can", "moron mor amor loweß", "", "scum_scum scum-scum", "SCUM" * 3, "idiot proof idiot-proof"]
     for t in texts + [r["text"] for r in tables[0].limit(200).collect()]:
         assert lexicon.hits(t) == brute_hits(lexicon, t), t
     assert toxicity.Lexicon({}, {}).hits("idiot") == []
 
 
+def test_exceptions_are_learned_and_cost_no_more_than_their_length(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:200]
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abdefghklmnprstuvz"), 6))
+    noise = [(" ".join(word() for _ in range(40)), " ".join(word() for _ in range(40))) for _ in range(200)]
+    texts = [f"{a} trash, go {b}" if k % 2 else f"{a} trash can {b}" if k % 20 == 0 else f"{a} {b} can go" for k, (a, b) in enumerate(noise)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, toxic int")
+    lexicon = toxicity.fit_toxicity(docs, labels)
+    assert "trash" in lexicon.words or any("trash".startswith(x) for x in lexicon.stems)
+    assert "trash can" in lexicon.exceptions
+    assert lexicon.hits("the trash can") == [] and lexicon.hits("you trash, can") != []
+    started = time.process_time()
+    assert lexicon.hits("trash can trash " * 40_000)
+    assert time.process_time() - started < 5
+
+
 def test_toxicity_held_out(spark, tables):
     docs, labels = tables
     lexicon = toxicity.fit_toxicity(docs, labels)
@@ -125,10 +145,10 @@ def test_measures_against_brute_force(spark, tables):
     docs = docs.unionByName(spark.createDataFrame([(90, "a b c d e a b c d e"), (91, "x\u00a0y \x1c z\n\nx\u00a0y \x1c z\n"), (92, "a " * 30), (93, "# $ <b> | &\n# $ <b> | &")], "doc_id bigint, text string"), allowMissingColumns=True)
     model = quality.QualityModel(np.zeros(1 << quality.BITS))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    got = quality.score_quality(docs, model, keep=("text",)).collect()
+    got = quality.score_quality(docs, model, carry=True).collect()
     assert len(got) == docs.count()
     for r in got:
-        assert tuple(r[n] for n in names) == brute_measures(r["text"]), r["doc_id"]
+        assert tuple(r[n] for n in names) == brute_measures(r["row"]["text"]), r["doc_id"]
 
 
 def test_linear_score_is_the_sum_of_its_features():
@@ -180,8 +200,8 @@ def test_bundles_against_brute_force():
 def test_language_held_out(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     profiles = lang_id.learn_profiles(docs)
-    rows = lang_id.identify(docs, profiles, keep=("lang",)).filter(held_out("doc_id")).collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.98
+    rows = lang_id.identify(docs, profiles, carry=True).filter(held_out("doc_id")).collect()
+    assert sum(r["row"]["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.98
     edges = {r["doc_id"]: r for r in lang_id.identify(edge(spark), profiles).collect()}
     assert all((edges[k]["lang_pred"], edges[k]["score"]) == ("und", 0.0) for k in (1, 2, 3, 6)) and edges[7]["lang_pred"] in profiles.languages
     assert lang_id.identify(edge(spark).limit(0), profiles).count() == 0
@@ -197,3 +217,35 @@ def test_profiles_don_t_see_held_out_rows(spark):
     b = lang_id.learn_profiles(docs.withColumns({"lang": F.when(held_out("doc_id"), "xx").otherwise(F.col("lang")), "source": F.lit("other")}))
     assert a.languages == b.languages and np.array_equal(a.vectors, b.vectors)
     assert math.isclose(float(np.linalg.norm(a.vectors[0])), 1.0, rel_tol=1e-5)
+
+
+def test_every_language_gets_a_profile(spark, monkeypatch):
+    rows = [(i, f"text {chr(97 + i % 26) * 3} {chr(97 + i // 26 % 26) * 3}", f"l{i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert set(lang_id.learn_profiles(docs).languages) == learned
+    monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 10)
+    with pytest.raises(ValueError):
+        lang_id.learn_profiles(docs)
+
+
+def test_fit_is_bounded_in_bytes(spark, tables):
+    docs, labels = tables
+    whole = quality.fit_quality(docs, labels, per_class=60)
+    cut = quality.fit_quality(docs, labels, per_class=60, most_bytes=400_000)
+    assert (whole.weights != 0).sum() > (cut.weights != 0).sum() > 0
+
+
+# ---- columns of clashing names
+
+
+def test_columns_of_any_name_are_left_alone(spark, tables):
+    names = ["score", "terms", "row", "n_words", "probability", "kept", "base_failed", "lang_pred", "id", "y", "c0", "a.b", "t1"]
+    docs = tables[0].limit(50)
+    odd = docs.select("doc_id", "text", *[docs.source.alias(n) for n in names])
+    lexicon, model = toxicity.Lexicon({"idiot": 5.0}, {}), quality.QualityModel(np.zeros(1 << quality.BITS))
+    profiles = lang_id.learn_profiles(tables[0].limit(200))
+    want = sorted(map(tuple, odd.collect()), key=str)
+    for scored in (toxicity.score_toxicity(odd, lexicon, carry=True), quality.with_verdict(quality.score_quality(odd, model, carry=True)), lang_id.identify(odd, profiles, carry=True)):
+        back = scored.select("row.*")
+        assert back.columns == odd.columns and sorted(map(tuple, back.collect()), key=str) == want
