@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Sequence
 
@@ -66,30 +67,31 @@ def biased_ema(values: Sequence[float], window: int) -> float:
 
 
 class _Signs:
-    """All signs so far, a byte each, and how many of the last n are +1."""
+    """All signs so far, a bit each, and how many of the last n are +1. How far back a close looks follows from the bar
+    that it closes, so no sign can be dropped."""
 
     def __init__(self) -> None:
-        self.blocks: list[np.ndarray] = []
-        self.ups: list[int] = [0]
-        self.open = np.empty(BLOCK, np.int8)
+        self.blocks: list[bytes] = []
+        self.ups = array("q", [0])
+        self.open = np.empty(BLOCK, bool)
         self.filled = self.count = 0
 
     def add(self, signs: np.ndarray) -> None:
         at = 0
         while at < len(signs):
             k = min(BLOCK - self.filled, len(signs) - at)
-            self.open[self.filled : self.filled + k] = signs[at : at + k]
+            self.open[self.filled : self.filled + k] = signs[at : at + k] == 1
             self.filled, at = self.filled + k, at + k
             if self.filled == BLOCK:
-                self.blocks.append(self.open)
-                self.ups.append(self.ups[-1] + int((self.open == 1).sum()))
-                self.open, self.filled = np.empty(BLOCK, np.int8), 0
+                self.blocks.append(np.packbits(self.open).tobytes())
+                self.ups.append(self.ups[-1] + int(self.open.sum()))
+                self.filled = 0
         self.count += len(signs)
 
     def _before(self, place: int) -> int:
         block, rest = divmod(place, BLOCK)
-        own = self.blocks[block] if block < len(self.blocks) else self.open
-        return self.ups[block] + int((own[:rest] == 1).sum())
+        own = np.unpackbits(np.frombuffer(self.blocks[block], np.uint8)) if block < len(self.blocks) else self.open
+        return self.ups[block] + int(own[:rest].sum())
 
     def ups_in_last(self, n: int) -> int:
         return self._before(self.count) - self._before(self.count - n)
@@ -175,7 +177,7 @@ def _bars(trades: DataFrame, init: float, num_prev_bars: int, window: int, parti
     order, key = order_columns(trades), F.struct(*order_columns(trades))
     inputs = {"sign": "sign"}
     if dollars:
-        signed = _with_seed(signed, partition_cols, order).withColumn("_v", F.coalesce("quote_quantity", F.lit(0)).cast("double"))
+        signed = _with_seed(signed, trades, partition_cols, order).withColumn("_v", F.coalesce("quote_quantity", F.lit(0)).cast("double"))
         inputs |= {"value": "_v", "seed": "_seed"}
     labelled = fold_ordered(
         signed, partition_cols, order, inputs, "bar_id bigint, theta double, expected double", lambda: ImbalanceLabels(init, num_prev_bars, window, dollars)
@@ -194,18 +196,22 @@ def _bars(trades: DataFrame, init: float, num_prev_bars: int, window: int, parti
     )
 
 
-def _with_seed(rows: DataFrame, partition_cols: Sequence[str], order: list[str]) -> DataFrame:
-    """_seed: the mean quote quantity of a partition's first 1000 trades if it has more, else that of its first trade.
-    The rank filter reaches the map tasks, so 1001 rows of each are dealt at most."""
-    keyed, keys, _ = with_keys(rows, partition_cols)
-    if not keys:
-        keyed, keys = rows.withColumn("_k", F.lit(0)), ["_k"]
+def _with_seed(rows: DataFrame, trades: DataFrame, partition_cols: Sequence[str], order: list[str]) -> DataFrame:
+    """rows with _seed: the mean quote quantity of a partition's first 1000 trades if it has more, else that of its first
+    trade. Taken from the trades as they are read, so nothing of the signs is computed twice; the rank filter reaches the
+    map tasks, so 1001 rows of each are dealt at most."""
+
+    def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+        own, keys, _ = with_keys(df, partition_cols)
+        return (own, keys) if keys else (own.withColumn("_k", F.lit(0)), ["_k"])
+
+    firsts, keys = keyed(trades.select(*partition_cols, *order, "quote_quantity"))
     w = Window.partitionBy(*keys).orderBy(*order)
-    first = keyed.select(*keys, *order, "quote_quantity").withColumn("_n", F.row_number().over(w)).filter("_n <= 1001")
+    first = firsts.select(*keys, *order, "quote_quantity").withColumn("_n", F.row_number().over(w)).filter("_n <= 1001")
     seed = first.groupBy(*keys).agg(
         F.when(F.max("_n") > 1000, F.sum(F.when(F.col("_n") <= 1000, F.col("quote_quantity"))).cast("double") / 1000).otherwise(F.max(F.when(F.col("_n") == 1, F.col("quote_quantity"))).cast("double")).alias("_seed")
     )
-    return keyed.join(seed, keys).drop(*keys)
+    return keyed(rows)[0].join(seed, keys).drop(*keys)
 
 
 def aggregate_trades_to_tick_imbalance_bars(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +51,12 @@ def fold_ordered(rows: DataFrame, partition_cols: Sequence[str], order_cols: Seq
 
 def _runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of equal keys."""
-    n, cut = table.num_rows, set()
+    n = table.num_rows
+    cut = np.zeros(max(0, n - 1), bool)
     for k in keys:
-        values = table.column(k).to_pylist() if k != "_g" else None
-        if values is None:
-            g = table.column(k).to_numpy()
-            cut.update((i + 1 for i in range(n - 1) if g[i] != g[i + 1]) if n and (g[0] != g[-1] or (g != g[0]).any()) else ())
-        elif n and values.count(values[0]) != n:
-            cut.update(i + 1 for i in range(n - 1) if values[i] != values[i + 1])
-    edges = [0, *sorted(cut), n]
+        codes = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        cut |= codes[1:] != codes[:-1]
+    edges = [0, *(np.flatnonzero(cut) + 1).tolist(), n]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
             yield a, b

@@ -5,6 +5,7 @@ Doubles are rounded on both sides, for sums of doubles depend on their order in
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from tempfile import mkdtemp
@@ -73,9 +74,11 @@ def ohlcv_1h_by_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _file(spark: SparkSession, name: str) -> str:
-    """A place in the folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="stratabar-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A place in the folder that all executors share. A temporary folder stands in only where Spark is one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or mkdtemp(prefix='stratabar-')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(ohlcv_sql(900_000))
@@ -91,16 +94,6 @@ def stream_ohlcv_1h(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_streamed(spark, d, lambda t: stream_time_bars(t, TimeInterval.HOUR), "complete"))
 
 
-@query()
-def stream_dollar_bars_by_symbol(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_streamed(spark, d, lambda t: stream_dollar_bars(t, 100_000.0), "append"))
-
-
-@query()
-def stream_tick_imbalance_bars(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_streamed(spark, d, lambda t: stream_imbalance_bars(t, 200), "append"))
-
-
 def _streamed(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
@@ -214,9 +207,10 @@ def dynamic_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dollarbars.dynamic_thresholds(trades_from_events(spark, d, exact=True), 50), 4)
 
 
-_BAR = """min(time) AS open_time, max(time) AS close_time, round(CAST(arg_min(price, (time, trade_id)) AS DOUBLE), 6) AS open, round(CAST(max(price) AS DOUBLE), 6) AS high, round(CAST(min(price) AS DOUBLE), 6) AS low,
-  round(CAST(arg_max(price, (time, trade_id)) AS DOUBLE), 6) AS close, round(CAST(sum(quantity) AS DOUBLE), 6) AS volume, round(CAST(sum(quote_quantity) AS DOUBLE), 6) AS quote_volume,
-  round(CAST(sum(CASE WHEN is_buyer_maker THEN 0 ELSE quantity END) AS DOUBLE), 6) AS taker_buy_base_volume, round(CAST(sum(CASE WHEN is_buyer_maker THEN 0 ELSE quote_quantity END) AS DOUBLE), 6) AS taker_buy_quote_volume,
+_TAKER = """
+  round(CAST(sum(CASE WHEN is_buyer_maker THEN 0 ELSE quantity END) AS DOUBLE), 6) AS taker_buy_base_volume, round(CAST(sum(CASE WHEN is_buyer_maker THEN 0 ELSE quote_quantity END) AS DOUBLE), 6) AS taker_buy_quote_volume,"""
+_BAR = f"""min(time) AS open_time, max(time) AS close_time, round(CAST(arg_min(price, (time, trade_id)) AS DOUBLE), 6) AS open, round(CAST(max(price) AS DOUBLE), 6) AS high, round(CAST(min(price) AS DOUBLE), 6) AS low,
+  round(CAST(arg_max(price, (time, trade_id)) AS DOUBLE), 6) AS close, round(CAST(sum(quantity) AS DOUBLE), 6) AS volume, round(CAST(sum(quote_quantity) AS DOUBLE), 6) AS quote_volume,{_TAKER}
   count(*) AS num_trades"""
 
 
@@ -269,6 +263,16 @@ def dollar_bars_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bars).withColumn("threshold_used", F.round("threshold_used", 4))
 
 
+@query(
+    fixed_bars_sql(
+        100_000, "symbol",
+        f"SELECT symbol, bar_id, {_BAR.replace(_TAKER, '')}, round(CAST(sum(quote_quantity) AS DOUBLE), 6) AS bar_dollar_volume, max(c) >= 100000 AS closed FROM r JOIN trades USING (trade_id, symbol) GROUP BY symbol, bar_id",
+    )
+)
+def stream_dollar_bars_by_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_streamed(spark, d, lambda t: stream_dollar_bars(t, 100_000.0), "append"))
+
+
 # ---- imbalance bars and signs
 
 _SIGNS = """s AS (SELECT *, CASE WHEN price > lag(price) OVER o THEN 1 WHEN price < lag(price) OVER o THEN -1 END AS ch FROM trades WINDOW o AS (ORDER BY time, trade_id)),
@@ -302,21 +306,71 @@ def threshold_exceedances(spark: SparkSession, d: str) -> DataFrame:
     return stats.threshold_exceedances(cum, (10_000, 100_000, 1_000_000))
 
 
-@query()
+def _mean_sql(values: str, n: str, window: str) -> str:
+    """The mean that imbalance bars are defined by, as a sum: value i (from 0) weighs q^(n - 1 - i), divided by what each of
+    the steps max(i, 1) to window - 1 is divided by."""
+    q = f"(1 - 2.0 / ({window} + 1))"
+    w = f"((1 - power({q}, k + 1)) / (1 - {q}))"
+    steps = f"list_aggregate(list_transform(range(greatest(i, 1), least({window}, {n})), lambda k: 1 + {q} * {w} / ({w} + 1)), 'product')"
+    return f"list_sum(list_transform(range({n}), lambda i: {values}[i + 1] * power({q}, {n} - 1 - i) / coalesce({steps}, 1.0)))"
+
+
+def imbalance_bars_sql(init: int, dollars: bool = False, by: str = "", closed: str = "") -> str:
+    """Bar after bar instead of trade after trade: each step looks for the first trade at which the running imbalance has
+    moved by the threshold since the bar before. Thresholds follow from the lengths of the last 20 bars and, over three
+    times the expected length, the share of rises (and the quote quantities)."""
+    g = by or "''"
+    v = "quote_quantity" if dollars else "1"
+    value = "CASE WHEN n > 1000 THEN list_avg(ql[1:1000]) ELSE ql[1] END" if dollars else "1.0"
+    new_value = f"CASE WHEN e > 10 THEN {_mean_sql('last', 'm', 'least(20, m)')} ELSE value END" if dollars else "1.0"
+    find = lambda b, th: f"coalesce(list_position(list_transform(cl[{b} + 1:], lambda x: abs(x - CASE WHEN {b} = 0 THEN 0 ELSE cl[{b}] END) >= {th}), true) + {b}, 0)"
+    signs = _SIGNS.replace("(ORDER BY", "(PARTITION BY g ORDER BY")
+    return f"""WITH RECURSIVE {TRADES_SQL.replace('trades AS (', 'own AS (', 1)}, trades AS (SELECT *, {g} AS g FROM own), {signs},
+places AS (SELECT *, row_number() OVER w AS i, sum(sign * {v}) OVER w AS c, count(*) FILTER (sign = 1) OVER w AS u FROM signed WINDOW w AS (PARTITION BY g ORDER BY time, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+lists AS MATERIALIZED (SELECT g, CAST(count(*) AS BIGINT) AS n, list(CAST(c AS DOUBLE) ORDER BY i) AS cl, list(u ORDER BY i) AS ul, list(CAST(quote_quantity AS DOUBLE) ORDER BY i) AS ql FROM places GROUP BY g),
+bars AS (
+  SELECT g, CAST(0 AS BIGINT) AS bar_id, CAST(0 AS BIGINT) AS b, th, CAST({init} AS DOUBLE) AS ticks, CAST(0.01 AS DOUBLE) AS factor, value, CAST([] AS BIGINT[]) AS lens, CAST({find('0', 'th')} AS BIGINT) AS e, th AS reported
+  FROM (SELECT *, CAST({init} AS DOUBLE) * 0.01 * value AS th FROM (SELECT *, CAST({value} AS DOUBLE) AS value FROM lists))
+  UNION ALL
+  SELECT g, bar_id + 1, e, th2, ticks2, factor2, value2, lens2, CAST({find('e', 'th2')} AS BIGINT), th
+  FROM (SELECT *, ticks2 * factor2 * value2 AS th2 FROM (SELECT *, CAST({new_value} AS DOUBLE) AS value2, CASE WHEN e > 10 THEN greatest(abs(2 * least(0.9, greatest(0.1, (ul[e] - CASE WHEN e = m THEN 0 ELSE ul[e - m] END) / m)) - 1), 0.01) ELSE factor END AS factor2
+    FROM (SELECT *, ql[e - m + 1:e] AS last FROM (SELECT *, CAST(greatest(10, least(floor(3 * ticks2), e)) AS BIGINT) AS m
+      FROM (SELECT *, CASE WHEN len(lens2) > 1 THEN greatest({_mean_sql('lens2', 'len(lens2)', 'len(lens2)')}, 0.1 * {init}) ELSE ticks END AS ticks2
+        FROM (SELECT bars.*, n, cl, ul, ql, list_append(lens, e - b)[-20:] AS lens2 FROM bars JOIN lists USING (g) WHERE e > 0 AND e < n))))))
+),
+spans AS (SELECT bars.g, bar_id, b, CASE WHEN e = 0 THEN n ELSE e END AS z, e > 0 AS closed, CASE WHEN e = 0 THEN reported ELSE th END AS expected FROM bars JOIN lists USING (g)),
+labelled AS (SELECT places.*, bar_id, closed, expected, b FROM places JOIN spans ON spans.g = places.g AND i > b AND i <= z)
+SELECT {f'{by}, ' if by else ''}bar_id, min(time) AS open_time, max(time) AS close_time, round(arg_min(price, i), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, i), 6) AS close,
+  round(sum(quantity), 6) AS volume, round(sum(quote_quantity), 6) AS quote_volume, round(sum(CASE WHEN sign = 1 THEN quantity ELSE 0 END), 6) AS taker_buy_base_volume,
+  round(sum(CASE WHEN sign = 1 THEN quote_quantity ELSE 0 END), 6) AS taker_buy_quote_volume, count(*) AS num_trades, round(CAST(sum(sign * {v}) AS DOUBLE), 6) AS cumulative_theta, round(max(expected), 6) AS expected_imbalance{closed}
+FROM labelled GROUP BY {f'{by}, ' if by else ''}bar_id"""
+
+
+@query(imbalance_bars_sql(1000))
 def tick_imbalance_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(imbalance.aggregate_trades_to_tick_imbalance_bars(trades_from_events(spark, d), 1000))
 
 
-@query()
+@query(imbalance_bars_sql(200, by="symbol"))
 def tick_imbalance_bars_by_symbol(spark: SparkSession, d: str) -> DataFrame:
     return rounded(imbalance.aggregate_trades_to_tick_imbalance_bars(trades_from_events(spark, d), 200, partition_cols=["symbol"]))
 
 
-@query()
+@query(imbalance_bars_sql(1000, dollars=True))
 def dollar_imbalance_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(imbalance.aggregate_trades_to_dollar_imbalance_bars(trades_from_events(spark, d), 1000))
 
 
+@query(imbalance_bars_sql(300, dollars=True, by="symbol"))
+def dollar_imbalance_bars_by_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(imbalance.aggregate_trades_to_dollar_imbalance_bars(trades_from_events(spark, d), 300, partition_cols=["symbol"]))
+
+
+@query(imbalance_bars_sql(200, by="symbol", closed=", bool_or(closed) AS closed"))
+def stream_tick_imbalance_bars(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_streamed(spark, d, lambda t: stream_imbalance_bars(t, 200), "append"))
+
+
 # ---- checks and statistics
 
 

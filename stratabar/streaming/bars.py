@@ -44,36 +44,46 @@ def stream_dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
 
 
 def _fold(threshold: float):
+    """Bar numbers by the closed form of the fixed bars (operators/dollarbars.py), the carry handed on."""
     names = [f.split()[0] for f in _STATE.split(", ")]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["time", "trade_id"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["time", "trade_id"], kind="stable").reset_index(drop=True)
+        if rows.empty:
+            return
         s = dict(zip(names, state.get, strict=True)) if state.exists else {n: 0 for n in names}
-        out = []
-        for t, price, quantity, quote in zip(rows["time"].tolist(), rows["price"].tolist(), rows["quantity"].tolist(), rows["quote_quantity"].tolist(), strict=True):
-            if not s["num_trades"]:
-                s |= {"open_time": t, "open": price, "high": price, "low": price, "volume": 0.0, "quote_volume": 0.0, "dollars": 0.0}
-            s |= {"close_time": t, "close": price, "high": max(s["high"], price), "low": min(s["low"], price)}
-            s["volume"] += quantity
-            s["quote_volume"] += quote
-            s["dollars"] += quote
-            s["num_trades"] += 1
-            s["carry"] += quote
-            if s["carry"] >= threshold:
-                out.append(_row(key, s, True))
-                s["carry"] -= threshold
-                s |= {"bar_id": s["bar_id"] + 1, "num_trades": 0}
+        i, sums = np.arange(1, len(rows) + 1), s["carry"] + np.cumsum(rows["quote_quantity"].to_numpy(float))
+        full = i + np.minimum(0, np.minimum.accumulate(np.floor(sums / threshold).astype(np.int64) - i))
+        rows["bar_id"] = s["bar_id"] + np.concatenate(([0], full[:-1]))
+        own = rows.groupby("bar_id", as_index=False).agg(**_BAR)
+        own["bar_dollar_volume"] = own["quote_volume"]
         if s["num_trades"]:
-            out.append(_row(key, s, False))
-        state.update(tuple(float(s[n]) if n not in ("bar_id", "open_time", "close_time", "num_trades") else int(s[n]) for n in names))
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in BAR_SCHEMA.split(", ")])
+            _continue(own, s | {"bar_dollar_volume": s["dollars"]}, ("volume", "quote_volume", "num_trades", "bar_dollar_volume"))
+        bar = int(s["bar_id"] + full[-1])
+        own["closed"] = own["bar_id"] < bar
+        last = own.iloc[-1].to_dict()
+        kept = {n: 0 for n in names} if last["closed"] else {n: last.get(n, 0) for n in names} | {"dollars": last["bar_dollar_volume"]}
+        kept |= {"carry": float(sums[-1] - full[-1] * threshold), "bar_id": bar}
+        state.update(tuple(int(kept[n]) if n in ("bar_id", "open_time", "close_time", "num_trades") else float(kept[n]) for n in names))
+        own.insert(0, "symbol", key[0])
+        yield own[[f.split()[0] for f in BAR_SCHEMA.split(", ")]]
 
     return fold
 
 
-def _row(key: tuple, s: dict, closed: bool) -> tuple:
-    return (key[0], s["bar_id"], s["open_time"], s["close_time"], s["open"], s["high"], s["low"], s["close"], s["volume"], s["quote_volume"], s["num_trades"], s["dollars"], closed)
+_BAR = dict(
+    open_time=("time", "first"), close_time=("time", "last"), open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"),
+    volume=("quantity", "sum"), quote_volume=("quote_quantity", "sum"), num_trades=("price", "size"),
+)
+
+
+def _continue(own: pd.DataFrame, before: dict, sums: tuple[str, ...]) -> None:
+    """The first of a batch's bars goes on with the bar that the batch before left open."""
+    for c in ("open_time", "open"):
+        own.at[0, c] = before[c]
+    own.at[0, "high"], own.at[0, "low"] = max(own.at[0, "high"], before["high"]), min(own.at[0, "low"], before["low"])
+    for c in sums:
+        own.at[0, c] += before[c]
 
 
 IMBALANCE_SCHEMA = "symbol string, bar_id bigint, open_time bigint, close_time bigint, open double, high double, low double, close double, volume double, quote_volume double, taker_buy_base_volume double, taker_buy_quote_volume double, num_trades bigint, cumulative_theta double, expected_imbalance double, closed boolean"
@@ -83,7 +93,7 @@ _SUMS = ("volume", "quote_volume", "taker_buy_base_volume", "taker_buy_quote_vol
 def stream_imbalance_bars(trades: DataFrame, exp_num_ticks_init: float = 10000, num_prev_bars: int = 3, num_ticks_ewma_window: int = 20, dollar_seed: float | None = None) -> DataFrame:
     """Tick imbalance bars of each symbol of a stream; given dollar_seed, dollar imbalance bars whose first expected
     value it is (the batch operator looks ahead for it). Order and lateness as for dollar bars. State: the open bar and
-    the recurrence, which keeps a byte per trade."""
+    the recurrence, which keeps a bit per trade: how far back a close looks follows from the bar it closes."""
 
     def start() -> ImbalanceLabels:
         return ImbalanceLabels(exp_num_ticks_init, num_prev_bars, num_ticks_ewma_window, dollar_seed is not None)
@@ -91,30 +101,24 @@ def stream_imbalance_bars(trades: DataFrame, exp_num_ticks_init: float = 10000,
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         labels, price, sign, open_bar = pickle.loads(state.get[0]) if state.exists else (start(), None, 1, None)
         rows = pd.concat(list(batches)).sort_values(["time", "trade_id"], kind="stable").reset_index(drop=True)
-        signs = []
-        for p in rows["price"].tolist():
-            sign = sign if price is None or p == price else 1 if p > price else -1
-            price = p
-            signs.append(sign)
-        table = {"sign": np.array(signs, np.int8), "value": rows["quote_quantity"].to_numpy(float), "seed": np.full(len(rows), dollar_seed or 0.0)}
+        prices = rows["price"].to_numpy(float)
+        change = np.sign(np.diff(prices, prepend=prices[0] if price is None else price)).astype(np.int8)
+        last_change = np.maximum.accumulate(np.where(change != 0, np.arange(len(change)), -1))
+        signs = np.where(last_change >= 0, change[last_change], sign).astype(np.int8)
+        price, sign = float(prices[-1]), int(signs[-1])
+        table = {"sign": signs, "value": rows["quote_quantity"].to_numpy(float), "seed": np.full(len(rows), dollar_seed or 0.0)}
         rows["bar_id"], rows["theta"], rows["expected"] = (a.to_numpy() for a in labels(pa.table(table)))
-        up = np.array(signs) == 1
+        up = signs == 1
         rows["bq"], rows["bqq"] = rows["quantity"].where(up, 0.0), rows["quote_quantity"].where(up, 0.0)
         own = rows.groupby("bar_id", as_index=False).agg(
-            open_time=("time", "first"), close_time=("time", "last"), open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"),
-            volume=("quantity", "sum"), quote_volume=("quote_quantity", "sum"), taker_buy_base_volume=("bq", "sum"), taker_buy_quote_volume=("bqq", "sum"),
-            num_trades=("price", "size"), cumulative_theta=("theta", "last"), expected_imbalance=("expected", "last"),
+            **_BAR, taker_buy_base_volume=("bq", "sum"), taker_buy_quote_volume=("bqq", "sum"), cumulative_theta=("theta", "last"), expected_imbalance=("expected", "last"),
         )
         if open_bar is not None and len(own) and own.at[0, "bar_id"] == open_bar["bar_id"]:
-            for c in ("open_time", "open"):
-                own.at[0, c] = open_bar[c]
-            own.at[0, "high"], own.at[0, "low"] = max(own.at[0, "high"], open_bar["high"]), min(own.at[0, "low"], open_bar["low"])
-            for c in _SUMS:
-                own.at[0, c] += open_bar[c]
+            _continue(own, open_bar, _SUMS)
         own["closed"] = own["bar_id"] < labels.bar
         last = own.iloc[-1].to_dict() if len(own) and not own["closed"].iloc[-1] else None
         state.update((pickle.dumps((labels, price, sign, last)),))
         own.insert(0, "symbol", key[0])
-        yield own
+        yield own[[f.split()[0] for f in IMBALANCE_SCHEMA.split(", ")]]
 
     return trades.groupBy("symbol").applyInPandasWithState(fold, IMBALANCE_SCHEMA, "state binary", "append", GroupStateTimeout.NoTimeout)
