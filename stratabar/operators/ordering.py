@@ -19,14 +19,15 @@ def order_columns(trades: DataFrame, time_col: str = "time", tie_col: str | None
 
 def order_key(trades: DataFrame, interval_ms: int | None = None, packed: bool = False, time_col: str = "time", tie_col: str | None = "trade_id") -> Column:
     """What min_by and max_by order trades by. A struct of time and trade id always works, but Spark aggregates by it
-    with sorts. packed=True promises trade ids from 0 to 2^36 - 1; in bins up to 37 hours both then fit one bigint, and
-    the aggregation hashes."""
+    with sorts. packed=True promises trade ids from 0 to 2^36 - 1 (another one fails the query); in bins up to 37 hours
+    both then fit one bigint, and the aggregation hashes."""
     columns = order_columns(trades, time_col, tie_col)
     if len(columns) == 1:
         return F.col(time_col)
     if packed and interval_ms is not None and interval_ms <= 1 << OFFSET_BITS:
-        offset = F.col(time_col) - bin_start(time_col, interval_ms)
-        return F.shiftleft(offset.cast("bigint"), ID_BITS) + F.col(columns[1]).cast("bigint")
+        offset, tie = F.col(time_col) - bin_start(time_col, interval_ms), F.col(columns[1]).cast("bigint")
+        broken = F.raise_error(F.concat(F.lit("packed=True needs ids from 0 to 2^36 - 1, not "), tie.cast("string"))).cast("bigint")
+        return F.when((tie < 0) | (tie >= 1 << ID_BITS), broken).otherwise(F.shiftleft(offset.cast("bigint"), ID_BITS) + tie)
     return F.struct(*columns)
 
 

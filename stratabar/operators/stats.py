@@ -88,3 +88,34 @@ def plan_size_bytes(df: DataFrame) -> int:
 def summary(df: DataFrame, *columns: str) -> DataFrame:
     """count, mean, stddev, min, quartiles and max of each column, as text."""
     return df.select(*columns).summary()
+
+
+def row_slice(df: DataFrame, order: Sequence[str], offset: int, length: int | None = None) -> DataFrame:
+    """length rows from the offset-th on in the given order, or all that follow. A negative offset counts from the end:
+    row_slice(df, order, -n) is the last n rows."""
+    if offset < 0:
+        last = df.orderBy(*[F.desc(c) for c in order]).limit(-offset)
+        return last.orderBy(*order).limit(length) if length is not None else last
+    ordered = df.orderBy(*order).offset(offset)
+    return ordered.limit(length) if length is not None else ordered
+
+
+def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
+    """df with the rank of each value from 1 on, ties having the mean of their places; null for null.
+
+    Values are counted first and ranges of them numbered in two levels, so no task holds or sorts all rows."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
+    ranged = counts.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("_in", F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    parts = own.groupBy("_p").agg(F.sum("count").alias("_n"), F.min(column).alias("_least"))
+    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    firsts = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    ranks = own.join(F.broadcast(firsts), "_p").select(column, (F.col("_first") + F.col("_in") + (F.col("count") + 1) / 2).alias(name))
+    return df.join(ranks, column, "left").select(*df.columns, name)
+
+
+def cast_or_keep(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """df with the column as `kind` if all its values can be read so, else as it is. One pass decides."""
+    broken = df.agg(F.count_if(F.col(column).isNotNull() & F.expr(f"try_cast(`{column}` AS {kind})").isNull()).alias("n")).first()["n"]
+    return df if broken else df.withColumn(column, F.col(column).cast(kind))

@@ -155,14 +155,6 @@ def detect_interval(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(resample.detect_source_interval(candles(spark, d, TimeInterval.HOUR))).cast("bigint").alias("seconds"))
 
 
-@query("SELECT * FROM (VALUES ('s', 'unix_seconds'), ('ms', 'unix_milliseconds'), ('us', 'unix_microseconds'), ('timestamp', 'datetime_us'), ('quirk', 'datetime_us_quirk')) AS t(unit, format)")
-def detect_ts_format(spark: SparkSession, d: str) -> DataFrame:
-    t = trades_from_events(spark, d).select("time")
-    kinds = {"s": F.floor(F.col("time") / 1000), "ms": F.col("time"), "us": F.col("time") * 1000, "timestamp": F.timestamp_millis("time"), "quirk": F.timestamp_micros("time")}
-    found = [(k, detect_timestamp_format(t.select(c.alias("open_time"))).value) for k, c in kinds.items()]
-    return spark.createDataFrame(found, "unit string, format string")
-
-
 @query(f"WITH {TRADES_SQL} SELECT trade_id, time * 1000 AS open_time, time * 1000 AS close_time FROM trades")
 def ts_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Microseconds to timestamps and back: digits below the millisecond go."""
@@ -404,10 +396,14 @@ def volume_conservation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(validate.conservation(trades, timebars.aggregate_trades_to_ohlcv(trades, TimeInterval.HOUR, packed_ids=True)), 4)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query(
+    f"""WITH {TRADES_SQL}, b AS (SELECT arg_min(price, (time, trade_id)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (time, trade_id)) AS c FROM trades GROUP BY {_bin(900_000)})
+SELECT count(*) FILTER (h < o OR h < c OR l > o OR l > c) AS violations, count(*) AS bars, round(sum(h - l), 4) AS spans FROM b"""
+)
 def ohlc_integrity(spark: SparkSession, d: str) -> DataFrame:
     bars = timebars.aggregate_trades_to_ohlcv(trades_from_events(spark, d), 15 * TimeInterval.MINUTE, packed_ids=True)
-    return validate.ohlc_violations(bars).agg(F.count(F.lit(1)).alias("violations"))
+    broken = validate.ohlc_violations(bars).select("open_time", F.lit(1).alias("broken"))
+    return rounded(bars.join(broken, "open_time", "left").agg(F.count("broken").alias("violations"), F.count(F.lit(1)).alias("bars"), F.sum(F.col("high") - F.col("low")).alias("spans")), 4)
 
 
 @query(f"WITH {TRADES_SQL}, l AS (SELECT time, lag(time) OVER (ORDER BY trade_id) AS b FROM trades) SELECT count(*) FILTER (time < b) AS out_of_order FROM l")
@@ -545,17 +541,63 @@ def frequency_plan(spark: SparkSession, d: str) -> DataFrame:
     return catalog.frequency_plan(spark, "2024-05-03", "2024-11-20")
 
 
-@query("SELECT CAST(4 AS BIGINT) AS total, CAST(3 AS BIGINT) AS successful, CAST(1 AS BIGINT) AS failed")
+@query(f"WITH {TRADES_SQL}, n AS (SELECT count(DISTINCT {_bin(86_400_000)}) AS n FROM trades) SELECT n + 1 AS total, n AS successful, CAST(1 AS BIGINT) AS failed, (SELECT count(*) FROM trades) AS n_rows FROM n")
 def process_archives(spark: SparkSession, d: str) -> DataFrame:
-    """Four archives of which one is broken: three are ingested."""
-    folder = _file(spark, "zip")
-    row = spark.range(3).selectExpr("id", "1.5 AS price", "2 AS qty", "3 AS quote_qty", "1700000000000 AS time", "true AS is_buyer_maker")
-    ingest.export_archives(row.repartitionByRange(3, "id"), folder)
+    """The trades' archives, one a day, and a broken one, processed twice: the second time adds nothing."""
+    folder, out = _file(spark, "zip"), _file(spark, "lake")
+    ingest.export_archives(_archived(spark, d), folder, "SYM-trades", by="day")
     fs, path = ingest.shared_file_system(folder)
     with fs.open_output_stream(f"{path}/broken.zip") as f:
         f.write(b"no archive")
-    got = ingest.process_downloaded_files(spark, f"{folder}/*.zip", DataType.TRADES, "SYM", _file(spark, "lake"))
-    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in got.items()])
+    for _ in range(2):
+        got = ingest.process_downloaded_files(spark, f"{folder}/*.zip", DataType.TRADES, "SYM", out)
+    return spark.read.parquet(out).agg(*[F.lit(v).cast("bigint").alias(k) for k, v in got.items()], F.count(F.lit(1)).alias("n_rows"))
+
+
+def _archived(spark: SparkSession, d: str) -> DataFrame:
+    """Trades with the columns of their archives, and the day."""
+    trades = trades_from_events(spark, d).select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker")
+    return trades.withColumn("day", F.date_format(F.timestamp_millis("time"), "yyyy-MM-dd"))
+
+
+_ARCHIVED = "trade_id, round(price, 6) AS price, round(quantity, 6) AS quantity, round(quote_quantity, 4) AS quote_quantity, time, is_buyer_maker"
+
+
+def _as_archived(df: DataFrame) -> DataFrame:
+    return rounded(df.select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker")).withColumn("quote_quantity", F.round("quote_quantity", 4))
+
+
+@query(f"WITH {TRADES_SQL} SELECT {_ARCHIVED} FROM trades")
+def ingest_csv_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV files with headers of two layouts and without any: each file's first line tells."""
+    folder, trades = _file(spark, "csv"), _archived(spark, d).drop("day")
+    named = trades.withColumnsRenamed({"trade_id": "id", "quantity": "qty", "quote_quantity": "quote_qty"})
+    named.filter("id % 3 = 0").repartition(3).write.csv(f"{folder}/kind=named", header=True)
+    named.filter("id % 3 = 1").select("time", "is_buyer_maker", "id", "quote_qty", "qty", "price").write.csv(f"{folder}/kind=turned", header=True)
+    trades.filter("trade_id % 3 = 2").repartition(2).write.csv(f"{folder}/kind=bare")
+    return _as_archived(ingest.read_csv(spark, [f"{folder}/kind={k}" for k in ("named", "turned", "bare")], DataType.TRADES))
+
+
+@query(f"WITH {TRADES_SQL} SELECT {_ARCHIVED} FROM trades")
+def csv_to_parquet(spark: SparkSession, d: str) -> DataFrame:
+    folder = _file(spark, "csv")
+    _archived(spark, d).drop("day").write.csv(folder, header=True)
+    return _as_archived(ingest.process_csv_to_parquet(spark, folder, f"{folder}-parquet", DataType.TRADES))
+
+
+@query(f"WITH {TRADES_SQL} SELECT {_ARCHIVED} FROM trades")
+def zip_to_parquet(spark: SparkSession, d: str) -> DataFrame:
+    folder = _file(spark, "zip")
+    ingest.export_archives(_archived(spark, d), folder, "SYM-trades", by="day")
+    return _as_archived(ingest.process_zip_to_parquet(spark, f"{folder}/*.zip", f"{folder}-parquet", DataType.TRADES))
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, make_timestamp(time * 1000) AS time FROM trades")
+def archive_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Archives read with their times as timestamps."""
+    folder = _file(spark, "zip")
+    ingest.export_archives(_archived(spark, d), folder, "SYM-trades", by="day")
+    return ingest.read_archives(spark, f"{folder}/*.zip", DataType.TRADES, timestamps=True).select("trade_id", F.col("time").cast("timestamp_ntz").alias("time"))
 
 
 @query(f"WITH {TRADES_SQL} SELECT trade_id, round(price, 6) AS price, time, is_buyer_maker FROM trades")
@@ -603,14 +645,92 @@ def shuffled_sample(spark: SparkSession, d: str) -> DataFrame:
     return stats.sample_shuffled(trades_from_events(spark, d).select("trade_id", "symbol"), "trade_id")
 
 
-@query(f"WITH {TRADES_SQL} SELECT trade_id, time, year_month, symbol FROM (SELECT trade_id, time, '2024_01' AS year_month, 'SYM' AS symbol FROM trades WHERE time >= 1704153600000 AND time < 1704326400000)")
+@query(f"WITH {TRADES_SQL} SELECT trade_id, time, strftime(make_timestamp(time * 1000), '%Y_%m') AS year_month, 'SYM' AS symbol FROM trades")
 def archive_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Three days of trades as archives; two of them are asked for, twice."""
-    folder, out = _file(spark, "zip"), _file(spark, "lake")
-    trades = trades_from_events(spark, d).select("trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker")
-    for k in range(1, 4):
-        day = 1704067200000 + k * TimeInterval.DAY
-        ingest.export_archives(trades.filter((F.col("time") >= day) & (F.col("time") < day + TimeInterval.DAY)).repartition(1), folder, f"SYM-trades-2024-01-{k + 1:02d}")
-    for _ in range(2):
-        ingest_range(spark, folder, DataType.TRADES, "SYM", "2024-01-02", "2024-01-03", out)
+    """All trades as archives, one a day; asked for in two ranges that overlap, and again."""
+    folder, out, trades = _file(spark, "zip"), _file(spark, "lake"), _archived(spark, d)
+    ingest.export_archives(trades, folder, "SYM-trades", by="day")
+    span = trades.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    for start in (span["b"], span["a"], span["a"]):
+        ingest_range(spark, folder, DataType.TRADES, "SYM", start, span["b"], out)
     return spark.read.parquet(out).select("trade_id", "time", F.col("year_month").cast("string").alias("year_month"), "symbol")
+
+
+# ---- public functions and default paths
+
+
+@query(ohlcv_sql(3_600_000))
+def ohlcv_1h_any_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The default path, which promises nothing about trade ids."""
+    return rounded(timebars.aggregate_trades_to_ohlcv(trades_from_events(spark, d), TimeInterval.HOUR))
+
+
+@query(
+    f"""WITH {TRADES_SQL}, {_HOURLY}, g AS (SELECT (open_time // 3600000) % 7 = 0 AS off, abs(close - (close + 0.5)) AS gap FROM hourly)
+SELECT count(*) FILTER (off) = 0 AS passed, count(*) AS total_rows, count(*) AS matched_rows, CAST(0 AS BIGINT) AS unmatched_rows, count(*) FILTER (off) AS differing, round(max(CASE WHEN off THEN gap ELSE 0 END), 6) AS close_max,
+  round(avg(CASE WHEN off THEN gap ELSE 0 END), 6) AS close_mean, CAST(9 AS BIGINT) AS measures FROM g"""
+)
+def validate_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of the accuracy validation, as its caller gets it."""
+    bars = timebars.aggregate_trades_to_ohlcv(trades_from_events(spark, d), TimeInterval.HOUR, packed_ids=True)
+    got = validate.validate_aggregation_accuracy(bars, _perturbed(bars))
+    own = {k: got[k] for k in ("passed", "total_rows", "matched_rows", "unmatched_rows")} | {"differing": got["differences"].count(), "close_max": got["metrics"]["close"]["max_diff"], "close_mean": got["metrics"]["close"]["mean_diff"], "measures": len(got["metrics"])}
+    return rounded(spark.createDataFrame([tuple(own.values())], "passed boolean, total_rows bigint, matched_rows bigint, unmatched_rows bigint, differing bigint, close_max double, close_mean double, measures bigint"))
+
+
+@query(
+    f"""WITH {TRADES_SQL}, {_HOURLY}, g AS (SELECT (open_time // 3600000) % 7 = 0 AS off FROM hourly)
+SELECT count(*) AS total_rows, count(*) AS matched_rows, CAST(100 AS DOUBLE) AS match_rate, CASE WHEN count(*) FILTER (off) > 0 THEN 'MISMATCHES_FOUND' ELSE 'PERFECT_MATCH' END AS status,
+  count(*) FILTER (off) AS close_mismatches, CAST(0 AS BIGINT) AS high_mismatches, least(5, count(*) FILTER (off)) AS samples FROM g"""
+)
+def compare_units(spark: SparkSession, d: str) -> DataFrame:
+    """Candles in milliseconds against candles in microseconds."""
+    bars = candles(spark, d, TimeInterval.HOUR)
+    got = validate.compare_dataframes(bars, _perturbed(bars).withColumn("open_time", F.col("open_time") * 1000))
+    own = (got.total_rows, got.matched_rows, got.match_rate, got.status, got.mismatches["close"], got.mismatches["high"], len(got.samples.get("close", [])))
+    return spark.createDataFrame([own], "total_rows bigint, matched_rows bigint, match_rate double, status string, close_mismatches bigint, high_mismatches bigint, samples bigint")
+
+
+@query(
+    f"""WITH {TRADES_SQL}, p AS (SELECT round(price, 4) AS price FROM trades) SELECT 'count' AS measure, CAST(count(price) AS DOUBLE) AS price FROM p UNION ALL SELECT 'mean', round(avg(price), 4) FROM p
+UNION ALL SELECT 'stddev', round(stddev_samp(price), 4) FROM p UNION ALL SELECT 'min', min(price) FROM p UNION ALL SELECT 'max', max(price) FROM p"""
+)
+def summary_price(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles are left out here: Spark's are of a sketch."""
+    got = stats.summary(rounded(trades_from_events(spark, d).select("price"), 4), "price").filter("summary NOT LIKE '%\\%'")
+    return got.select(F.col("summary").alias("measure"), F.round(F.col("price").cast("double"), 4).alias("price"))
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, time FROM trades ORDER BY time DESC, trade_id DESC LIMIT 300")
+def last_trades(spark: SparkSession, d: str) -> DataFrame:
+    return stats.row_slice(trades_from_events(spark, d).select("trade_id", "time"), ("time", "trade_id"), -300)
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, time FROM trades ORDER BY time, trade_id LIMIT 200 OFFSET 100")
+def sliced_trades(spark: SparkSession, d: str) -> DataFrame:
+    return stats.row_slice(trades_from_events(spark, d).select("trade_id", "time"), ("time", "trade_id"), 100, 200)
+
+
+@query(f"WITH {TRADES_SQL}, c AS (SELECT *, rank() OVER (ORDER BY price) AS low, count(*) OVER (PARTITION BY price) AS n FROM trades) SELECT trade_id, low + (n - 1) / 2 AS rank FROM c")
+def ranked_prices(spark: SparkSession, d: str) -> DataFrame:
+    return stats.average_rank(trades_from_events(spark, d).select("trade_id", "price"), "price").select("trade_id", "rank")
+
+
+@query(f"WITH {TRADES_SQL} SELECT trade_id, CAST(time AS VARCHAR) AS kept, time AS cast FROM trades")
+def strict_cast(spark: SparkSession, d: str) -> DataFrame:
+    """A column of numbers is cast as a whole; one that holds something else stays as it is."""
+    text = trades_from_events(spark, d).select("trade_id", F.col("time").cast("string").alias("cast"), F.col("time").cast("string").alias("kept"))
+    mixed = text.withColumn("kept", F.when(F.col("trade_id") == text.agg(F.min("trade_id")).first()[0], F.concat("kept", F.lit("x"))).otherwise(F.col("kept")))
+    return stats.cast_or_keep(stats.cast_or_keep(mixed, "cast", "bigint"), "kept", "bigint").withColumn("kept", F.rtrim("kept", F.lit("x")))
+
+
+@query(
+    f"""WITH {TRADES_SQL}, t AS (SELECT min(time) AS t FROM trades), u AS (SELECT 's' AS unit, t // 1000 AS x FROM t UNION ALL SELECT 'ms', t FROM t UNION ALL SELECT 'us', t * 1000 FROM t)
+SELECT unit, CASE len(CAST(x AS VARCHAR)) WHEN 10 THEN 'unix_seconds' WHEN 13 THEN 'unix_milliseconds' WHEN 16 THEN 'unix_microseconds' END AS format FROM u
+UNION ALL SELECT 'timestamp', CASE WHEN year(make_timestamp(t * 1000)) > 1971 THEN 'datetime_us' END FROM t UNION ALL SELECT 'quirk', CASE WHEN year(make_timestamp(t)) < 1971 THEN 'datetime_us_quirk' END FROM t"""
+)
+def detect_ts_format(spark: SparkSession, d: str) -> DataFrame:
+    t = trades_from_events(spark, d).select("time")
+    kinds = {"s": F.floor(F.col("time") / 1000), "ms": F.col("time"), "us": F.col("time") * 1000, "timestamp": F.timestamp_millis("time"), "quirk": F.timestamp_micros("time")}
+    found = [(k, detect_timestamp_format(t.select(c.alias("open_time"))).value) for k, c in kinds.items()]
+    return spark.createDataFrame(found, "unit string, format string")

@@ -15,7 +15,7 @@ from stratabar.schemas import KLINE_LIKE, DataType, Frequency, Market
 CATALOG_SCHEMA = "filename string, date date, url string, size_bytes bigint, last_modified string, symbol string, data_type string, market string, frequency string"
 #: Which types each market offers.
 MARKET_DATA_TYPES: dict[Market, frozenset[DataType]] = {
-    Market.SPOT: frozenset({DataType.KLINES, DataType.TRADES, DataType.AGG_TRADES}),
+    Market.SPOT: frozenset({DataType.KLINES, DataType.TRADES, DataType.AGG_TRADES, DataType.BOOK_TICKER, DataType.BOOK_DEPTH}),
     Market.USD_M: frozenset(set(DataType)),
     Market.COIN_M: frozenset(set(DataType)),
     Market.OPTION: frozenset(),
@@ -26,7 +26,8 @@ DAILY_TYPES = frozenset({DataType.METRICS, DataType.BOOK_DEPTH})
 
 @dataclass(frozen=True)
 class DataConfig:
-    """What is asked for: dates are inclusive."""
+    """What is asked for: dates are inclusive. Type and market may be given by their values. An interval is needed by
+    candles and means nothing to other types."""
 
     symbol: str
     data_type: DataType
@@ -36,10 +37,15 @@ class DataConfig:
     interval: str | None = None
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "data_type", DataType(self.data_type))
+        object.__setattr__(self, "market", Market(self.market))
         if self.data_type in KLINE_LIKE and not self.interval:
             raise ValueError(f"{self.data_type.value} needs an interval")
-        if self.data_type not in KLINE_LIKE and self.interval:
-            raise ValueError(f"{self.data_type.value} has no interval")
+
+    @property
+    def bars(self) -> str | None:
+        """The interval where the type has one."""
+        return self.interval if self.data_type in KLINE_LIKE else None
 
 
 def parse_date(value: date | str) -> date:
@@ -62,7 +68,7 @@ class ArchiveRepository:
     @staticmethod
     def build_prefix(config: DataConfig, frequency: Frequency) -> str:
         market = "spot" if config.market is Market.SPOT else f"futures/{config.market.value}" if config.market in (Market.USD_M, Market.COIN_M) else config.market.value
-        return "/".join(["data", market, frequency.value, config.data_type.value, config.symbol, *([config.interval] if config.interval else [])]) + "/"
+        return "/".join(["data", market, frequency.value, config.data_type.value, config.symbol, *([config.bars] if config.bars else [])]) + "/"
 
     @staticmethod
     def validate_config(config: DataConfig) -> None:
@@ -71,7 +77,7 @@ class ArchiveRepository:
 
     def file_url(self, config: DataConfig, frequency: Frequency, day: date) -> tuple[str, str]:
         stamp = day.strftime("%Y-%m" if frequency is Frequency.MONTHLY else "%Y-%m-%d")
-        filename = f"{config.symbol}-{config.interval or config.data_type.value}-{stamp}.zip"
+        filename = f"{config.symbol}-{config.bars or config.data_type.value}-{stamp}.zip"
         return f"{self.base_url}/{self.build_prefix(config, frequency)}{filename}", filename
 
 

@@ -6,7 +6,11 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import groupby
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -94,14 +98,24 @@ def _csv_rows(archive: bytes, names: list[str], schema: StructType) -> Iterator[
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], data_type: DataType, header: bool | None = None, timestamps: bool = False) -> DataFrame:
-    """Typed CSV files. Without `header` the first line of the first file tells whether there is one."""
+    """Typed CSV files. Without `header` each file's own first line tells whether it is one, so a folder may hold files
+    with and without a header and with columns in other orders; files of one header are read together. The first
+    lines are found by one scan, and a row per file comes to the driver. Empty files and folders give no rows."""
     schema = get_data_type_schema(data_type)
-    first = None if header is False else spark.read.text(path).first()
-    if header is None:
-        header = first is not None and has_header(first["value"])
-    names = column_names(first["value"], schema) if header and first else schema.names
-    raw = spark.read.csv(path, header=header, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
-    return _typed(raw.select(F.array(*[F.col(f"`{n}`") if n in names else F.lit(None).cast("string") for n in schema.names]).alias("fields")), schema, data_type, timestamps)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"))
+    heads = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("line")).collect()
+    layouts: dict[str | None, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        named = has_header(r["line"]) if header is None else header
+        layouts.setdefault(r["line"] if named else None, []).append(unquote(r["file"]))
+
+    def fields(line: str | None, files: list[str]) -> DataFrame:
+        names = schema.names if line is None else [f"{n}#{k}" if n in own[:k] else n for own in [column_names(line, schema)] for k, n in enumerate(own)]
+        raw = spark.read.csv(files, header=line is not None, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
+        return raw.select(F.array(*[F.col(f"`{n}`") if n in names else F.lit(None).cast("string") for n in schema.names]).alias("fields"))
+
+    parts = [fields(line, files) for line, files in layouts.items()] or [spark.createDataFrame([], "fields array<string>")]
+    return _typed(reduce(DataFrame.unionByName, parts), schema, data_type, timestamps)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), codec: str = "zstd", level: int | None = None, mode: str = "overwrite") -> None:
@@ -117,12 +131,24 @@ def output_path(base: str, symbol: str, data_type: DataType, day: str, stem: str
     return f"{base}/dataset_{symbol}/{day[:7].replace('-', '_')}/{data_type.value}/{stem}.parquet"
 
 
+def present_sources(spark: SparkSession, out: str) -> DataFrame:
+    """source_file of what a table holds; none if there is no table yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "source_file string")
+    return spark.read.parquet(out).select("source_file").distinct()
+
+
 def ingest_archives(spark: SparkSession, paths: str | Sequence[str], data_type: DataType, symbol: str, out: str) -> DataFrame:
-    """Archives to Parquet partitioned by symbol, month and type; returns the written table."""
-    time = F.col(TIME_COLUMNS[data_type])
-    at = F.to_timestamp(time) if data_type in (DataType.METRICS, DataType.BOOK_DEPTH) else F.timestamp_millis(time)
-    rows = read_archives(spark, paths, data_type).withColumns({"symbol": F.lit(symbol), "year_month": F.date_format(at, "yyyy_MM"), "data_type": F.lit(data_type.value)})
-    write_parquet(rows, out, ["symbol", "year_month", "data_type"], mode="append")
+    """Archives to Parquet partitioned by symbol, month and type; returns the written table. An archive that the table
+    holds already, told by source_file, isn't added again."""
+    listed = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select(F.col("path").alias("source_file"))
+    new = [r["source_file"] for r in listed.join(present_sources(spark, out), "source_file", "left_anti").collect()]  # a row per archive
+    if new:
+        time = F.col(TIME_COLUMNS[data_type])
+        at = F.to_timestamp(time) if data_type in (DataType.METRICS, DataType.BOOK_DEPTH) else F.timestamp_millis(time)
+        rows = read_archives(spark, new, data_type).withColumns({"symbol": F.lit(symbol), "year_month": F.date_format(at, "yyyy_MM"), "data_type": F.lit(data_type.value)})
+        write_parquet(rows, out, ["symbol", "year_month", "data_type"], mode="append")
     return spark.read.parquet(out)
 
 
@@ -155,7 +181,8 @@ def check_archives(spark: SparkSession, paths: str | Sequence[str], data_type: D
 
 
 def process_downloaded_files(spark: SparkSession, paths: str | Sequence[str], data_type: DataType, symbol: str, out: str) -> dict[str, int]:
-    """Ingests the archives that can be read; returns how many there are, and were taken or not."""
+    """Ingests the archives that can be read and aren't in the table yet; returns how many there are, and can be read or
+    not. Run again, it adds nothing."""
     found = check_archives(spark, paths, data_type).collect()  # a row per file
     good = [r["source_file"] for r in found if r["error"] is None]
     if good:
@@ -179,27 +206,42 @@ def shared_file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def export_archives(df: DataFrame, folder: str, stem: str = "part", header: bool = True) -> DataFrame:
-    """Writes each partition of df as a ZIP archive of one CSV file into `folder`, which all executors must see; returns
-    a row per archive: file, n_rows. An archive shows under its name once it is whole, so retried tasks do no harm."""
+def export_archives(df: DataFrame, folder: str, stem: str = "part", header: bool = True, by: str | None = None) -> DataFrame:
+    """Writes each partition of df as a ZIP archive of one CSV file into `folder`, which all executors must see; given
+    `by`, an archive for each of its values (stem-value), without that column. Returns a row per archive: file, n_rows.
+    An archive shows under its name once it is whole, so retried tasks do no harm."""
     fs, path = shared_file_system(folder)
     fs.create_dir(path, recursive=True)
-    names = df.columns
+    names = [c for c in df.columns if c != by]
+    if by is not None:
+        df = df.repartition(by).sortWithinPartitions(by)
+    label = F.col(by).cast("string") if by is not None else F.lpad(F.spark_partition_id().cast("string"), 5, "0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
         own, root = shared_file_system(folder)
-        name, n = f"{stem}-{task.partitionId():05d}", 0
-        hidden = f"{root}/.{name}.{task.taskAttemptId()}"
-        with own.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{name}.csv", "w") as f:
-            if header:
-                f.write((",".join(names) + "\n").encode())
-            for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns]
-                f.write("".join(",".join("" if v is None else str(v) for v in row) + "\n" for row in zip(*columns, strict=True)).encode())
-                n += batch.num_rows
-        own.move(hidden, f"{root}/{name}.zip")
-        yield pa.RecordBatch.from_pydict({"file": [f"{name}.zip"], "n_rows": [n]})
-
-    written = df.mapInArrow(run, "file string, n_rows bigint").collect()  # a row per archive
+        attempt = TaskContext.get().taskAttemptId()
+        for value, parts in groupby(_by_first(batches), key=lambda x: x[0]):
+            name, n = f"{stem}-{value}", 0
+            hidden = f"{root}/.{name}.{attempt}"
+            with own.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{name}.csv", "w") as f:
+                if header:
+                    f.write((",".join(names) + "\n").encode())
+                for _, part in parts:
+                    columns = [c.to_pylist() for c in part.columns[1:]]
+                    f.write("".join(",".join("" if v is None else str(v) for v in row) + "\n" for row in zip(*columns, strict=True)).encode())
+                    n += part.num_rows
+            own.move(hidden, f"{root}/{name}.zip")
+            yield pa.RecordBatch.from_pydict({"file": [f"{name}.zip"], "n_rows": [n]})
+
+    written = df.select(label, *names).mapInArrow(run, "file string, n_rows bigint").collect()  # a row per archive
     return df.sparkSession.createDataFrame(written, "file string, n_rows bigint")
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Pieces of batches that have one value in the first column."""
+    for batch in batches:
+        codes = batch.column(0).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.column(0)[a].as_py(), batch.slice(a, b - a)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratabar.schemas import TIME_COLUMNS, DataType
 from stratabar.sources.catalog import catalog_rows, filter_by_date_range
-from stratabar.sources.ingest import read_archives, write_parquet
+from stratabar.sources.ingest import present_sources, read_archives, write_parquet
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +21,7 @@ def ingest_range(spark: SparkSession, folder: str, data_type: DataType, symbol:
     to end and that aren't there yet, told by source_file. Rows are in time order inside each file. Returns how many
     archives were wanted and how many were new; run again, it adds nothing."""
     wanted = filter_by_date_range(list_archives(spark, folder), start, end).select("url")
-    new = wanted.join(_present(spark, out).withColumnRenamed("source_file", "url"), "url", "left_anti")
+    new = wanted.join(present_sources(spark, out).withColumnRenamed("source_file", "url"), "url", "left_anti")
     n, files = wanted.count(), [r["url"] for r in new.collect()]  # a row per archive
     if files:
         time = F.col(TIME_COLUMNS[data_type])
@@ -29,10 +29,3 @@ def ingest_range(spark: SparkSession, folder: str, data_type: DataType, symbol:
         rows = read_archives(spark, files, data_type).withColumns({"symbol": F.lit(symbol), "year_month": F.date_format(at, "yyyy_MM"), "data_type": F.lit(data_type.value)})
         write_parquet(rows.repartition("year_month", F.col("source_file")).sortWithinPartitions("year_month", TIME_COLUMNS[data_type]), out, ["symbol", "year_month", "data_type"], mode="append")
     return {"wanted": n, "new": len(files)}
-
-
-def _present(spark: SparkSession, out: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "source_file string")
-    return spark.read.parquet(out).select("source_file").distinct()
