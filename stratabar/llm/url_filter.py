@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import checkpointed, literal_rows, table
+from stratabar.llm.common import checkpointed, column, literal_rows, table
 
 #: Hex digits of a digest that the join uses.
 PREFIX_DIGITS = 8
@@ -40,51 +40,60 @@ def _split_rule(rule: str) -> tuple[str, str]:
     return host, slash + rest
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: id_col, host, path, rule, verdict.
 
-    rules: (verdict, "host/path-prefix"). A rule fits its host and every subdomain when the URL's path starts with
-    the rule's path; of the rules that fit, the longest string wins, then the longer host, then block before allow.
-    Without a fitting rule: rule null, verdict `default`.
-
-    Each URL is expanded only into the (number of host labels, path length) shapes that some rule has, so the
-    expansion is bounded by the rule list and not by the URL. Rows are grouped again by their own id, host and path
-    inside their scan partition, so a hot host never gathers in one task; rows repeated exactly are counted and restored.
-    Null or malformed URLs: empty host and path, no rule. Other columns of pages are not carried (join on id_col).
-    No rules: every row gets the default.
+    rules: a table with the columns verdict and rule, or a short list of such pairs; a rule is "host/path-prefix". It
+    fits its host and every subdomain when the URL's path starts with the rule's path; of the rules that fit, the longest
+    string wins, then the longer host, then block before allow. Without a fitting rule: rule null, verdict `default`.
+    Null rules fit nothing; repeated rules are one.
+
+    Each URL is expanded only into the (number of host labels, path length) shapes that some rule has, which are data, not
+    branches: their number is bounded by the lengths of URLs and not by the number of rules. A table of rules is written
+    to the shared folder, never collected; its hashes are broadcast up to MAX_BROADCAST_RULES. Rows are grouped again by
+    their own id, host and path inside their scan partition, so a hot host never gathers in one task; rows repeated
+    exactly are counted and restored. Null or malformed URLs: empty host and path, no rule. Other columns of pages are
+    not carried (join on id_col). No rules: every row gets the default.
     """
     spark = pages.sparkSession
-    rules = sorted({(verdict, rule) for verdict, rule in rules})
-    shapes = sorted({(len((hp := _split_rule(rule))[0].split(".")), len(hp[1])) for _, rule in rules})
+    if isinstance(rules, DataFrame):
+        own = checkpointed(rules.select(column("verdict").cast("string").alias("verdict"), column("rule").cast("string").alias("rule")).filter(F.col("rule").isNotNull()).distinct())
+        host = F.substring_index("rule", "/", 1)
+        found = own.select(F.size(F.split(host, r"\.")).alias("n"), (F.length("rule") - F.length(host)).alias("k")).distinct().collect()  # label counts x path lengths at most
+        shapes, n_rules = {(r["n"], r["k"]) for r in found}, own.count()
+    else:
+        listed = sorted({(verdict, rule) for verdict, rule in rules if rule is not None})
+        own = literal_rows(spark, json.dumps([{"verdict": v, "rule": r} for v, r in listed]), "verdict:string,rule:string")
+        shapes, n_rules = {(len((hp := _split_rule(rule))[0].split(".")), len(hp[1])) for _, rule in listed}, len(listed)
+    by_labels = [{"n": n, "lengths": sorted(k for m, k in shapes if m == n)} for n in sorted({n for n, _ in shapes})]
+
     url = F.col("url")
     rows = (
-        pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
+        pages.select(column(id_col).alias("id"), column(url_col).cast("string").alias("url"))
         .select("id", F.spark_partition_id().alias("part"), url_host(url).alias("host"), url_path(url).alias("path"))
     )
-    if not rules:
-        return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-
-    labels = F.size(F.split("host", r"\."))
-    shaped = [
-        F.when((labels >= n) & (F.length("path") >= k), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, k)))
-        for n, k in shapes
-    ]
-    expanded = rows.withColumn("exprs", F.array_compact(F.array(*shaped))).withColumn("n_exprs", F.greatest(F.size("exprs"), F.lit(1)))
+    labels, shape = F.size(F.split("host", r"\.")), F.from_json(F.lit(json.dumps(by_labels)), "array<struct<n:int,lengths:array<int>>>")
+
+    def expressions(x: Column) -> Column:
+        suffix = F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"])
+        fitting = F.filter(x["lengths"], lambda k: k <= F.length("path"))
+        return F.transform(fitting, lambda k: F.concat(suffix, F.substring(F.col("path"), F.lit(1), k)))
+
+    expanded = rows.withColumn("exprs", F.flatten(F.transform(F.filter(shape, lambda x: x["n"] <= labels), expressions)))
+    expanded = expanded.withColumn("n_exprs", F.greatest(F.size("exprs"), F.lit(1)))
     expanded = expanded.withColumn("expr", F.explode_outer("exprs")).drop("exprs").withColumn("digest", F.sha2(F.col("expr"), 256))
     expanded = expanded.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
 
-    records = json.dumps([{"verdict": v, "rule": r, "host": len(_split_rule(r)[0])} for v, r in rules])
     by_prefix = (
-        literal_rows(spark, records, "verdict:string,rule:string,host:int")
-        .select(
+        own.select(
             F.sha2(F.col("rule"), 256).alias("digest"),
-            F.struct(F.length("rule").alias("size"), "host", (F.col("verdict") == "block").cast("int").alias("block"), "rule", "verdict").alias("is"),
+            F.struct(F.length("rule").alias("size"), F.length(F.substring_index("rule", "/", 1)).alias("host"), (F.col("verdict") == "block").cast("int").alias("block"), "rule", "verdict").alias("is"),
         )
         .groupBy(F.substring("digest", 1, PREFIX_DIGITS).alias("prefix"))
         .agg(F.collect_list(F.struct("digest", "is")).alias("rules"))
     )
     # cut off, a long list is dealt anew by the join, which can then split what meets a prefix that many URLs have
-    by_prefix = F.broadcast(by_prefix) if len(rules) <= MAX_BROADCAST_RULES else checkpointed(by_prefix)
+    by_prefix = F.broadcast(by_prefix) if n_rules <= MAX_BROADCAST_RULES else checkpointed(by_prefix)
     joined = expanded.join(by_prefix, "prefix", "left")
     confirmed = F.array_max(F.transform(F.filter("rules", lambda r: r["digest"] == F.col("digest")), lambda r: r["is"]))
     best = joined.groupBy("id", "host", "path", "part").agg((F.count(F.lit(1)) / F.max("n_exprs")).cast("bigint").alias("copies"), F.max(confirmed).alias("best"))

@@ -38,6 +38,19 @@ def test_against_brute_force(spark, monkeypatch, rules, most):
     assert judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_rules_as_a_table(spark, monkeypatch):
+    """Thousands of rules of hundreds of shapes, with null and repeated ones; broadcast and joined by shuffle."""
+    rules = [("block" if i % 3 else "allow", "a." * (i % 7) + f"h{i % 50}.com/" + "p" * (i % 90)) for i in range(3000)]
+    urls = [f"http://x.{'a.' * (i % 9)}h{i % 50}.com/{'p' * (i % 97)}/q" for i in range(400)] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    table = spark.createDataFrame([*rules, *rules[:5], ("block", None)], "verdict string, rule string")
+    want = Counter((i, *brute(u, rules)) for i, u in enumerate(urls))
+    for most in (50_000, 10):
+        monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", most)
+        assert Counter(tuple(r) for r in judge_urls(pages, table).collect()) == want
+    assert {r["verdict"] for r in judge_urls(pages, table.limit(0), default="block").collect()} == {"block"}
+
+
 def test_plan_has_no_python_and_prunes(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = judge_urls(pages, QUERY_RULES)._jdf.queryExecution().executedPlan().toString()
