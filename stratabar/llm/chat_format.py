@@ -29,8 +29,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     id or turn number stands for itself: a dialogue of one turn with block null. A dialogue without participants
     (only context) gives no rows, as nothing in it is to be trained on. Other columns are not carried.
 
-    The text is shuffled by dialogue and turn, to number repeats by a sort that can spill, and by dialogue and block; a
-    dialogue that holds very many turns is spread over its blocks.
+    The text is shuffled once, by dialogue and block; repeats are numbered by a sort that can spill. A dialogue that holds
+    very many turns is spread over its blocks.
     """
     alone = column(conv_col).isNull() | column(turn_col).isNull()
     rows = turns.select(
@@ -41,8 +41,9 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.coalesce(column(speaker_col), F.lit("unknown")).alias("speaker"),
         F.coalesce(column(text_col), F.lit("")).alias("text"),
     )
-    repeats = Window.partitionBy("conv_id", "turn").orderBy("speaker", "text")
-    grouped = rows.filter(~F.col("solo")).withColumn("part", F.floor((F.row_number().over(repeats) - 1) / TURNS_PER_BLOCK))
+    repeats = Window.partitionBy("conv_id", "block", "turn").orderBy("speaker", "text")
+    dealt = rows.filter(~F.col("solo")).repartition("conv_id", "block")  # numbering, grouping and join share this exchange
+    grouped = dealt.withColumn("part", F.floor((F.row_number().over(repeats) - 1) / TURNS_PER_BLOCK))
     blocks = grouped.groupBy("conv_id", "block", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     named = rows.filter(~F.col("solo") & (F.col("speaker") != CONTEXT_ROLE)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     views = rows.filter(~F.col("solo")).select("conv_id", "block").distinct().join(named, "conv_id")
