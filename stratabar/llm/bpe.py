@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-import heapq
 import json
+import struct
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from stratabar.llm.chunks import BETWEEN_SPACES, WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
 from stratabar.llm.common import column, held_by_worker, table
 
-#: Fragments with more symbols are merged by a queue instead of scans.
-LONG_FRAGMENT = 64
 #: Bytes of fragments a worker remembers, of either kind, in each of two generations.
 FRAGMENT_BYTES = 8 << 20
 #: Bytes of results that go back to the JVM at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 class ForcedBoundaryBPE:
-    """Encodes and decodes as the tokenizer file says. Normalisation and the split into words are the file's own
-    (components of the tokenizers library); the merges are done here, fragment by fragment.
+    """Encodes and decodes as the tokenizer file says. Normalisation, the split into words and the merges inside a
+    fragment are the file's own (components of the tokenizers library).
 
     No merge can join the two sides of a byte pair that no token contains, so a word is cut there, each fragment is
-    merged alone, and the ids are concatenated. Only the last fragment of a word carries the end-of-word mark.
+    merged alone, and the ids are concatenated. Only the last fragment of a word carries the end-of-word mark, so the
+    others go through a model of the same merges without it.
     """
 
     def __init__(self, path: str):
@@ -40,7 +40,10 @@ class ForcedBoundaryBPE:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        self.at_end = self.before_end = library.model
+        if self.suffix:
+            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+            self.before_end = models.BPE(vocab=self.vocab, merges=merges)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = special_pattern(list(self.added))
         self.tokens: list[str] = [""] * (1 + max(*self.vocab.values(), *self.added.values()))
@@ -58,8 +61,8 @@ class ForcedBoundaryBPE:
                 self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.chunk = WITH_SPACES if self.keeps_spaces else BETWEEN_SPACES
         self.chunks = ChunkCache(self._encode_chunk, self._is_plain)
-        self.middle = ChunkCache(lambda f: self._merged(list(f)), room=FRAGMENT_BYTES)
-        self.last = ChunkCache(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]), room=FRAGMENT_BYTES)
+        self.middle = ChunkCache(lambda f: self._merged(f, self.before_end), room=FRAGMENT_BYTES)
+        self.last = ChunkCache(lambda f: self._merged(f, self.at_end), room=FRAGMENT_BYTES)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -76,6 +79,8 @@ class ForcedBoundaryBPE:
 
     def fragments(self, word: str) -> list[str]:
         inside, out, start = self.inside, [], 0
+        if inside.issuperset(map(add, word, word[1:])):
+            return [word]
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in inside:
                 out.append(word[start:i])
@@ -93,8 +98,11 @@ class ForcedBoundaryBPE:
         out = []
         for word in self._words(chunk):
             *first, end = self.fragments(word)
-            out += [self.middle[f] for f in first]
-            out.append(self.last[end])
+            if first:
+                out += [self.middle[f] for f in first]
+                out.append(self.last[end])
+            else:  # remembered as a chunk already
+                out.append(self._merged(end, self.at_end))
         return b"".join(out)
 
     def _is_plain(self, chunk: str) -> bool:
@@ -106,52 +114,15 @@ class ForcedBoundaryBPE:
         """In the letters that stand for bytes. Plain words need no look at the file's patterns."""
         if self._is_plain(chunk):
             word = chunk.lower() if self.lower else chunk
-            return ["".join([self.shown[b] for b in word.encode()])]
+            return [word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(self.shown)]
         if self.normalizer:
             chunk = self.normalizer.normalize_str(chunk)
         return [word for word, _ in self.pre_tokenizer.pre_tokenize_str(chunk)]
 
-    def _merged(self, symbols: list[str]) -> bytes:
-        vocab = self.vocab
-        symbols = self._merge_long(symbols) if len(symbols) > LONG_FRAGMENT else self._merge(symbols)
-        return b"".join([vocab[s].to_bytes(4, "little") for s in symbols])
-
-    def _merge(self, symbols: list[str]) -> list[str]:
-        ranks, none = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            order = [ranks.get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
-            best = min(order)
-            if best == none:
-                break
-            at = order.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        """The same order, lowest rank first and leftmost among equals, in n log n steps."""
-        ranks, n = self.ranks, len(symbols)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue: list[tuple[int, int, str, str]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) >= 0 and (r := ranks.get((symbols[i], symbols[j]))) is not None:
-                heapq.heappush(queue, (r, i, symbols[i], symbols[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = a + b, ""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            after[j] = -1
-            offer(before[i])
-            offer(i)
-        return [s for s in symbols if s]
+    @staticmethod
+    def _merged(fragment: str, model: models.BPE) -> bytes:
+        ids = [t.id for t in model.tokenize(fragment)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def codec(path: str) -> ForcedBoundaryBPE:

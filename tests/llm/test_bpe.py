@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import unicodedata
 from sys import getsizeof
@@ -70,11 +71,30 @@ def test_cuts_are_pairs_inside_no_token():
     assert cut
 
 
-def test_long_fragments_merge_alike():
-    bpe, rng = ForcedBoundaryBPE(PATHS["byte_bpe_50k"]), random.Random(7)
-    for _ in range(200):
-        symbols = [rng.choice("thereading") for _ in range(rng.randrange(1, 60))]
-        assert bpe._merge(list(symbols)) == bpe._merge_long(list(symbols))
+def _merge(symbols, ranks):
+    """Lowest rank first, leftmost among equals."""
+    while len(symbols) > 1:
+        order = [ranks.get(p, len(ranks)) for p in zip(symbols, symbols[1:], strict=False)]
+        if min(order) == len(ranks):
+            break
+        at = order.index(min(order))
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
+
+
+@pytest.mark.parametrize("name", PATHS)
+def test_fragments_merge_as_the_ranks_say(name):
+    """Inside a word and at its end, short and long, beside a plain loop over the file's merges."""
+    with open(PATHS[name], encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(merges)}
+    bpe, rng = ForcedBoundaryBPE(PATHS[name]), random.Random(7)
+    for n in [*range(1, 60), 300, 2000]:
+        fragment = "".join(rng.choice("thereading.,9Ã©") for _ in range(n))
+        inner = [bpe.vocab[s] for s in _merge(list(fragment), ranks)]
+        end = [bpe.vocab[s] for s in _merge([*fragment[:-1], fragment[-1] + bpe.suffix], ranks)]
+        assert np.frombuffer(bpe.middle[fragment], "<u4").tolist() == inner
+        assert np.frombuffer(bpe.last[fragment], "<u4").tolist() == end
 
 
 def test_round_trip_of_a_table(spark):
