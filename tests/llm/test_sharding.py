@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratabar.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 
@@ -51,3 +52,25 @@ def test_same_again_and_uniform(spark):
     assert abs(np.corrcoef([k for k in a], [v[1] for v in a.values()])[0, 1]) < 0.06
     plan = shuffle_into_shards(docs, 8)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("n,parts,shards", [(700, 7, 8), (41, 3, 40)])
+def test_by_brute_force(spark, n, parts, shards):
+    seed = 11
+    docs = spark.range(0, n, 1, parts).selectExpr("id AS doc_id", "CAST(id % 9 AS string) AS text")
+    place = F.monotonically_increasing_id().alias("place")
+    rows = docs.select("doc_id", place, F.spark_partition_id().alias("source"))
+    rows = rows.select("*", F.xxhash64(F.lit(seed), "place").alias("first"), F.xxhash64(F.lit(seed + 1), "place").alias("second")).collect()
+    sources = sorted({r["source"] for r in rows})
+    counts = [sum(r["source"] == s for r in rows) for s in sources]
+    matrix = communication_matrix(counts, [n // shards + (j < n % shards) for j in range(shards)], seed)
+    dealt = defaultdict(list)
+    for s, sent in zip(sources, matrix, strict=True):
+        own = iter(sorted((r for r in rows if r["source"] == s), key=lambda r: (r["first"], r["place"])))
+        for shard, k in enumerate(sent):
+            dealt[shard] += [next(own) for _ in range(k)]
+    want = {}
+    for shard, own in dealt.items():
+        for slot, r in enumerate(sorted(own, key=lambda r: (r["second"] % (1 << 64), r["place"]))):
+            want[r["doc_id"]] = (shard, slot)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in shuffle_into_shards(docs, shards, seed).collect()} == want
