@@ -734,3 +734,87 @@ def detect_ts_format(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"s": F.floor(F.col("time") / 1000), "ms": F.col("time"), "us": F.col("time") * 1000, "timestamp": F.timestamp_millis("time"), "quirk": F.timestamp_micros("time")}
     found = [(k, detect_timestamp_format(t.select(c.alias("open_time"))).value) for k, c in kinds.items()]
     return spark.createDataFrame(found, "unit string, format string")
+
+
+@query(ohlcv_sql(3_600_000))
+def ohlcv_1h_trusted_order(spark: SparkSession, d: str) -> DataFrame:
+    """Trades that arrive in no order, though the caller says they needn't be sorted: the same bars."""
+    trades = trades_from_events(spark, d).orderBy(F.xxhash64("trade_id"))
+    return rounded(timebars.aggregate_trades_to_ohlcv(trades, TimeInterval.HOUR, ensure_sorted=False))
+
+
+@query(f"WITH {TRADES_SQL}, t AS (SELECT unnest(['trade_id', 'time', 'price', 'quantity', 'quote_quantity', 'is_buyer_maker', 'symbol']) AS dropped) SELECT dropped, dropped NOT IN ('trade_id', 'symbol') AS refused FROM t")
+def required_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Which columns time bars can't do without. Only schemas are looked at."""
+    trades = trades_from_events(spark, d)
+
+    def refused(dropped: str) -> bool:
+        try:
+            timebars.aggregate_trades_to_ohlcv(trades.drop(dropped), TimeInterval.HOUR)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(c, refused(c)) for c in trades.columns], "dropped string, refused boolean")
+
+
+_TARGETS = (1800, 3600, 5400, 7200, 86400)
+
+
+@query(
+    f"""WITH {TRADES_SQL}, {_candles_sql(3_600_000)}, g AS (SELECT open_time - lag(open_time) OVER (ORDER BY open_time) AS gap FROM candles), s AS (SELECT min(gap) // 1000 AS source FROM g),
+t AS (SELECT CAST(unnest({list(_TARGETS)}) AS BIGINT) AS target)
+SELECT target, target >= source AND target % source = 0 AS allowed FROM t, s"""
+)
+def allowed_targets(spark: SparkSession, d: str) -> DataFrame:
+    """To which intervals, in seconds, hourly candles can be resampled, told from the candles themselves."""
+    bars = candles(spark, d, TimeInterval.HOUR)
+    source = resample.detect_source_interval(bars)
+
+    def allowed(target: int) -> bool:
+        try:
+            resample.aggregate_ohlcv(bars, target, source_interval=source, timestamp_format="unix_milliseconds")
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(t, allowed(t)) for t in _TARGETS], "target bigint, allowed boolean")
+
+
+@query(
+    f"""WITH {TRADES_SQL}, {_candles_sql(3_600_000)}, r AS ({_resampled_sql(14_400_000)})
+SELECT 'unix_microseconds' AS named, open_time * 1000 AS open_time, close FROM r UNION ALL SELECT 'unix_seconds', open_time // 1000, close FROM r"""
+)
+def resample_named_units(spark: SparkSession, d: str) -> DataFrame:
+    """Candles in other units, whose format the caller names."""
+    bars, parts = candles(spark, d, TimeInterval.HOUR), []
+    for named, scaled in (("unix_microseconds", lambda c: F.col(c) * 1000), ("unix_seconds", lambda c: F.floor(F.col(c) / 1000))):
+        own = bars.withColumns({c: scaled(c) for c in ("open_time", "close_time")})
+        parts.append(resample.aggregate_ohlcv(own, "4h", source_interval="1h", timestamp_format=named).select(F.lit(named).alias("named"), "open_time", "close"))
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query(
+    f"""WITH RECURSIVE {TRADES_SQL}, d AS (SELECT symbol, time // 86400000 AS day, CAST(count(*) AS DOUBLE) AS v FROM trades GROUP BY ALL),
+n AS (SELECT symbol, v, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i FROM d), q AS (SELECT 1 - 2.0::DOUBLE / 11 AS q),
+e AS (SELECT symbol, i, v AS mean, 1.0::DOUBLE AS w FROM n WHERE i = 0 UNION ALL
+  SELECT n.symbol, n.i, (e.mean * q + n.v) / CASE WHEN n.i < 10 THEN 1 + q * (e.w + pow(q, n.i)) / (e.w + pow(q, n.i) + 1) ELSE 1 END, e.w + pow(q, n.i) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1, q)
+SELECT symbol, round(arg_max(mean, i), 6) AS mean FROM e GROUP BY symbol"""
+)
+def biased_ema_trades(spark: SparkSession, d: str) -> DataFrame:
+    """The imbalance bars' mean, of each symbol's trades a day in order of days."""
+    daily = trades_from_events(spark, d).groupBy("symbol", F.floor(F.col("time") / 86_400_000).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    series = daily.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", "n"))).alias("days")).select("symbol", F.col("days.n").cast("array<double>").alias("n"))  # a number a day
+
+    def means(batches):
+        for b in batches:
+            yield b.assign(mean=[imbalance.biased_ema(list(n), 10) for n in b["n"]])[["symbol", "mean"]]
+
+    return rounded(series.mapInPandas(means, "symbol string, mean double"))
+
+
+@query("SELECT unnest(['klines', 'trades', 'aggTrades', 'metrics', 'bookDepth']) AS data_type, unnest(['monthly', 'monthly', 'monthly', 'daily', 'daily']) AS frequency, 'zip' AS extension")
+def type_files(spark: SparkSession, d: str) -> DataFrame:
+    """How often files of a type come, and what they end in."""
+    rows = [(t.value, catalog.get_data_frequency(t).value, catalog.get_file_extension(t)) for t in (DataType.KLINES, DataType.TRADES, DataType.AGG_TRADES, DataType.METRICS, DataType.BOOK_DEPTH)]
+    return spark.createDataFrame(rows, "data_type string, frequency string, extension string")
