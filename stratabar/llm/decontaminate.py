@@ -384,7 +384,6 @@ def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(words)
-        held: list[tuple[pa.Array, list[list[dict]]]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
