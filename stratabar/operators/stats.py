@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,9 +70,17 @@ def taker_ratio(bars: DataFrame) -> DataFrame:
     )
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as doubles divide: over 0 it is infinite, and NaN for 0 / 0. Spark's own division fails the query there."""
+    a, b = a.cast("double"), b.cast("double")
+    over_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))
+    return F.when(b == 0, over_zero).otherwise(a / b)
+
+
 def most_volatile(bars: DataFrame, n: int = 1) -> DataFrame:
-    """The n bars of the greatest (high - low) / low, in per cent; the earliest of equals."""
-    return bars.withColumn("volatility", (F.col("high") - F.col("low")) / F.col("low") * 100).orderBy(F.desc("volatility"), "open_time").limit(n)
+    """The n bars of the greatest (high - low) / low, in per cent; the earliest of equals. A low of 0 gives infinity, or
+    NaN if high is 0 too; NaN is above infinity, as in SQL. Bars without prices come last."""
+    return bars.withColumn("volatility", ratio(F.col("high") - F.col("low"), F.col("low")) * 100).orderBy(F.desc("volatility"), "open_time").limit(n)
 
 
 def sample_shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -1,11 +1,14 @@
 import random
+from datetime import datetime
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stratabar.functions.intervals import TimeInterval
 from stratabar.operators import dollarbars, imbalance, stats, timebars, validate
+from stratabar.plans.queries import QUERIES, SQL
 from stratabar.plans.trades import trades_from_events
 from tests import oracle
 
@@ -203,3 +206,20 @@ def test_cumulative_sum_over_buckets(spark):
         total += s * p * q
         want.append(total)
     assert got == pytest.approx(want)
+
+
+def test_volatility_of_bars_whose_low_is_zero(spark, tmp_path):
+    hours = [[4.0, 5.0], [0.0, 3.0], [0.0, 1.0], [2.0, 2.0], [None]]
+    rows = [(i, datetime(2024, 1, 1, h, i), 1, "view", p, '{"k": 1}') for h, prices in enumerate(hours) for i, p in enumerate(prices, 10 * h)]
+    want = [1, 2, 0, 3, 4]
+    for extra, first in (([], want), ([(99, datetime(2024, 1, 1, 7), 1, "view", 0.0, '{"k": 1}')], [7, *want])):
+        d = f"{tmp_path}/{len(extra)}"
+        spark.createDataFrame(rows + extra, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+        got = [tuple(r) for r in QUERIES["volatility_top1"](spark, d).collect()]
+        assert repr(got) == repr(con.execute(SQL["volatility_top1"]).fetchall())
+        bars = timebars.aggregate_trades_to_ohlcv(trades_from_events(spark, d), TimeInterval.HOUR)
+        ranked = stats.most_volatile(bars, 9).collect()
+        assert [r["open_time"] // TimeInterval.HOUR % 24 for r in ranked] == first
+        assert [str(r["volatility"]) for r in ranked] == ["nan"] * len(extra) + ["inf", "inf", "25.0", "0.0", "None"]
