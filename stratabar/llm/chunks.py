@@ -12,6 +12,11 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 BETWEEN_SPACES = re.compile(rf"[^{WHITE_SPACE}]+")
 #: For byte-level tokenizers that keep it: a chunk is a run with the space before it, or white space before such a run.
 WITH_SPACES = re.compile(rf" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+#: Letters of a range in which all versions of Unicode agree.
+LETTERS = "".join(filter(str.isalpha, map(chr, range(0x250))))
+#: For byte-level tokenizers whose words end at every ASCII sign and digit: as WITH_SPACES, but a word of LETTERS before
+#: such a sign is a chunk of its own, and the signs after it another, so a word is one chunk whatever follows it.
+WORDS_APART = re.compile(rf" ?[{LETTERS}]++(?![^!-@\[-`{{-~{WHITE_SPACE}])| ?[^{WHITE_SPACE}]++|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 #: Bytes of chunks and encodings that a cache remembers in each of two generations, with what Python needs to hold them.
 CACHE_BYTES = 48 << 20
 #: What an entry takes besides its chunk and its encoding.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from stratabar.llm.chunks import WITH_SPACES, ChunkCache, byte_letters, is_word, special_pattern
+from stratabar.llm.chunks import WITH_SPACES, WORDS_APART, ChunkCache, byte_letters, is_word, special_pattern
 from stratabar.llm.common import column, held_by_worker, released, shared_dir, table
 
 SEQUENCE = 2048
@@ -44,19 +44,28 @@ class LibraryEncoder:
         self.tok.no_padding()
         self.dtype = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.model, self.shown = self.tok.model, byte_letters()
-        self.byte_level = self.tok.normalizer is None and [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str("a b")] == ["a", self.shown[32] + "b"]
+        self.space = self.shown[32]
+        self.byte_level = self.tok.normalizer is None and [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str("a b")] == ["a", self.space + "b"]
+        self.cut = WORDS_APART.findall if self.byte_level and self._words_end_at_signs() else WITH_SPACES.findall
         self.typecode = "H" if self.dtype == "<u2" else "I"
         self.specials = special_pattern([t.content for t in self.tok.get_added_tokens_decoder().values()])
-        self.chunks = ChunkCache(self._ids, self._is_plain)
+        self.chunks = ChunkCache(self._ids)
 
-    def _is_plain(self, chunk: str) -> bool:
-        return self.byte_level and is_word(chunk[1:] if chunk[0] == " " else chunk)
+    def _words_end_at_signs(self) -> bool:
+        """Whether a word ends before every ASCII sign and digit, and what follows is cut as if it stood alone."""
+        pieces = lambda text: [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        tails = [sign + more for sign in map(chr, range(0x21, 0x7F)) if not sign.isalpha() for more in ("", "s", "S", "re b", sign, "1", " ", "\n")]
+        return all(pieces(word + tail) == pieces(word) + pieces(tail) for word in ("a", " aB", "\u00e9") for tail in tails)
 
     def _ids(self, chunk: str) -> bytes:
         """Plain words go to the library's model at once, other chunks through its patterns first."""
-        if self._is_plain(chunk):
-            return array(self.typecode, [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.shown))]).tobytes()
-        return array(self.typecode, self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if not (self.byte_level and is_word(word)):
+            return array(self.typecode, self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.shown)
+        tokens = self.model.tokenize(self.space + word if chunk[0] == " " else word)
+        return array(self.typecode, [t.id for t in tokens]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.specials and self.specials.search(text):
@@ -64,7 +73,7 @@ class LibraryEncoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, WITH_SPACES.findall(text)))
+        return b"".join(map(self.chunks.__getitem__, self.cut(text)))
 
 
 def encoder(path: str) -> LibraryEncoder:

@@ -1,8 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from stratabar.llm.token_files import LibraryEncoder, TokenFile, file_system, op3_token_files, read_token_files, write_token_files
 from tests.llm.test_bpe import LETTERS, ODD
@@ -23,6 +24,35 @@ def test_letters_of_all_scripts():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want.ids, repr(text)
 
 
+def test_a_word_is_encoded_once_whatever_sign_follows():
+    enc, library, made = LibraryEncoder(PATH), Tokenizer.from_file(PATH), []
+    encode = enc.chunks.encode
+    enc.chunks.encode = lambda chunk: made.append(chunk) or encode(chunk)
+    signs = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha()]
+    words = ["stands", "Être", "MENTREÊ", "cheauelle"]
+    text = "".join(f" {w}{s}{more}" for w in words for s in signs for more in ("", s * 2, "."))
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(made) == len(set(made)) and sorted(c for c in made if any(map(str.isalpha, c))) == sorted(f" {w}" for w in words)
+
+
+def test_signs_after_letters_and_between():
+    enc, library, rng = LibraryEncoder(PATH), Tokenizer.from_file(PATH), random.Random(5)
+    parts = ["a", "don", "É", "\u024f", "\u0250", "я", "中", "\u0301", "ª", "'s", "'RE", "'", "1", "²", "-", "_", "***", ".", "’", "\x7f", "\x1f", "\xa0", " ", "  ", "\n", "\t", "<|endoftext|>", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(5000)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want.ids, repr(text)
+
+
+def test_patterns_that_join_words_and_signs(tmp_path):
+    text = "Don't say it's over: a,b (we're) x-y, z's 12's.  It'll do"
+    for pattern in (r" ?\p{L}+(?:'s|'t|'re|'ll)?| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", r" ?\p{L}+[.,]?| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"):
+        library = Tokenizer.from_file(PATH)
+        library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        library.save(f"{tmp_path}/t.json")
+        enc = LibraryEncoder(f"{tmp_path}/t.json")
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_very_long_text_and_other_ids(spark, tmp_path):
     texts = {"a": "A very long text, of words. " * 60_000, "b": None, "c": "x" * 100_000}
     docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
